@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import quality
+from lakeloom.llm import mixing, quality
 
 QUERIES = {
+    "op5_mixing": mixing.op5,
     "op7_quality_rules": quality.op7,
 }
 
 ORACLES = {
+    "op5_mixing": mixing.OP5_SQL,
     "op7_quality_rules": quality.OP7_SQL,
 }
