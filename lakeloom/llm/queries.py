@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import mixing, quality
+from lakeloom.llm import linededup, mixing, quality
 
 QUERIES = {
+    "op3_line_dedup": linededup.op3,
     "op5_mixing": mixing.op5,
     "op7_quality_rules": quality.op7,
 }
 
 ORACLES = {
+    "op3_line_dedup": linededup.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_quality_rules": quality.OP7_SQL,
 }
