@@ -2,8 +2,8 @@
 
 A text is cut by a pattern; each match is encoded separately. The library is given the same vocabulary in its own terms:
 every byte has a character, a token is a string of those, and each way to put a token together from two others is a merge,
-in the order of ranks. Natural text repeats its words, so each distinct match is encoded once a worker and remembered; the
-memory is bounded. Decoding turns ids into the bytes of the byte table; a character whose bytes lie in several tokens comes
+in the order of ranks. Natural text repeats its words, so each distinct chunk (a word with the space before it) is encoded once
+and remembered by the worker, within a bound. Decoding turns ids into the bytes of the byte table; a character whose bytes lie in several tokens comes
 out whole, as the bytes are joined before they are read as UTF-8.
 """
 
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -20,8 +22,8 @@ from pyspark.sql import types as T
 
 from lakeloom.runtime import workers_see_package
 
-#: A worker remembers at most so many distinct matches, and so many characters of them.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 8_000_000
+#: A worker remembers at most so many distinct chunks, and so many characters of them.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 12_000_000
 
 
 def byte_characters() -> list[str]:
@@ -36,50 +38,123 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
 
 
-class Codec:
-    """One vocabulary of ranks. encode_piece(s) gives the ids of one match; ids(text) those of a text."""
+class Chunks:
+    """Cuts texts into chunks, each a run of white space and the run of other characters after it.
+
+    No match of the pattern holds white space after another character, so chunks can be tokenised apart, and what is known
+    of a chunk is remembered. meaning(chunks) gives the values of chunks that are new; they must all be tokenised alone.
+    """
+
+    def __init__(self, meaning, most: int = REMEMBERED, most_chars: int = REMEMBERED_CHARS):
+        self.meaning, self.most, self.most_chars = meaning, most, most_chars
+        self.after_space: dict[str, object] = {}  # by the chunk without its first space
+        self.other: dict[str, object] = {}
+        self.chars = 0
+
+    def _learn(self, units: list[str], known: dict[str, object], space: str) -> None:
+        new = [u for u in set(units) if u not in known]
+        size = sum(map(len, new))
+        if len(self.after_space) + len(self.other) + len(new) > self.most or self.chars + size > self.most_chars:
+            self.after_space.clear()
+            self.other.clear()
+            self.chars, new = 0, list(set(units))
+            size = sum(map(len, new))
+        self.chars += size
+        known.update(zip(new, self.meaning([u if u[:1] == "\n" else space + u for u in new] if space else new), strict=True))
+
+    def _values(self, units: list[str], known: dict[str, object], space: str) -> list:
+        try:
+            return list(map(known.__getitem__, units))
+        except KeyError:
+            self._learn(units, known, space)
+            return list(map(known.__getitem__, units))
+
+    def values(self, text: str) -> list:
+        """The values of a text's chunks in order."""
+        if not text:
+            return []
+        if text[0] in WHITE or text[-1] in WHITE or any(x in text for x in RUNS):
+            return self._values(CHUNK.findall(text), self.other, "")
+        units = text.replace("\n", " \n").split(" ")
+        return self._values(units[:1], self.other, "") + self._values(units[1:], self.after_space, " ")
+
+
+#: White space as the pattern has it (the Unicode property). CHUNK holds for any text; without RUNS, chunks start at a lone space or line feed.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+RUNS = ("  ", " \n", "\n ", "\n\n", *(c for c in WHITE if c not in " \n"))
+CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+
+
+#: Stands between matches in one call of the library.
+NUL = "\0"
+
+
+class Matches:
+    """The ids of matches of a pattern by a byte-level BPE model of the tokenizers library."""
+
+    def __init__(self, model, nul: int, pattern: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library = Tokenizer(model)
+        cut = pre_tokenizers.Split(NUL, "isolated")
+        self.library.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.nul = nul
+        self.uncut = None
+        self.pattern = regex.compile(pattern)
+
+    def library_ids(self, matches: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each match. Those without NUL go to the library in one string, with NUL between them."""
+        plain = [m for m in matches if NUL not in m]
+        found, own = [], []
+        for i in self.library.encode(NUL.join([*plain, ""]), add_special_tokens=False).ids:
+            if i == self.nul:
+                found.append(tuple(own))
+                own = []
+            else:
+                own.append(i)
+        found = dict(zip(plain, found, strict=True))
+        return [found[m] if m in found else tuple(self._with_nul(m)) for m in matches]
+
+    def _with_nul(self, match: str) -> list[int]:
+        """A match that holds NUL, by a second library object that doesn't cut there."""
+        if self.uncut is None:
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self.uncut = Tokenizer(self.library.model)
+            self.uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return self.uncut.encode(match, add_special_tokens=False).ids
+
+
+class Codec(Matches):
+    """One vocabulary of ranks."""
 
     def __init__(self, data: bytes, pattern: str):
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import models
 
         ranks = read_ranks(data)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.decimal = {rank: str(rank) for rank in self.bytes_of}
         chars = byte_characters()
         said = {token: "".join(chars[b] for b in token) for token in ranks}
         merges = [(said[token[:i]], said[token[i:]]) for token in sorted(ranks, key=ranks.get) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+        # A match that is a token as a whole is that token, whatever its merges.
         model = models.BPE(vocab={said[token]: rank for token, rank in ranks.items()}, merges=merges, ignore_merges=True)
-        self.library = Tokenizer(model)
-        self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces = regex.compile(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.joined: dict[str, str] = {}
-        self.chars = 0
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes the pieces that aren't remembered; forgets everything first if the memory is full."""
-        new = [p for p in set(pieces) if p not in self.known]
-        size = sum(map(len, new))
-        if len(self.known) + len(new) > REMEMBERED or self.chars + size > REMEMBERED_CHARS:
-            self.known.clear()
-            self.joined.clear()
-            self.chars, new = 0, list(set(pieces))
-            size = sum(map(len, new))
-        self.chars += size
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = tuple(found.ids)
-            self.known[piece] = ids
-            self.joined[piece] = ",".join(map(str, ids))
-
-    def split(self, text: str) -> list[str]:
-        """The matches of a text, all of them remembered on return."""
-        pieces = self.pieces.findall(text)
-        if any(p not in self.known for p in pieces):
-            self.learn(pieces)
-        return pieces
+        super().__init__(model, ranks[NUL.encode()], pattern)
+        self.matches: dict[str, tuple[int, ...]] = {}
+        self.chunks = Chunks(self._encode)
+
+    def _encode(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """The ids of each chunk: its matches are encoded by the library, each distinct one once."""
+        rows, ids = [self.pattern.findall(c) for c in chunks], self.matches
+        new = list({m for row in rows for m in row if m not in ids})
+        if len(ids) + len(new) > REMEMBERED // 2 or sum(map(len, new)) > REMEMBERED_CHARS:
+            ids = self.matches = {}
+            new = list({m for row in rows for m in row})
+        ids.update(zip(new, self.library_ids(new), strict=True))
+        return [ids[row[0]] if len(row) == 1 else tuple(i for m in row for i in ids[m]) for row in rows]
 
     def ids(self, text: str) -> list[int]:
-        known = self.known
-        return [i for p in self.split(text) for i in known[p]]
+        return list(chain.from_iterable(self.chunks.values(text)))
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """For each id, the characters [start, end) that hold at least one of its bytes. Tokens may share a character."""
@@ -201,10 +276,10 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
             rows = []
             for text in batch.column("t"):
                 text = text.as_py() or ""
-                pieces = own.split(text)
-                ids = [i for p in pieces for i in own.known[p]]
+                ids = own.ids(text)
                 back = own.decode_bytes(ids)
-                rows.append((len(ids), hashlib.sha256(",".join(map(own.joined.__getitem__, pieces)).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+                decimal = ",".join(map(own.decimal.__getitem__, ids))
+                rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_())], out.names)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import linededup, mixing, quality
+from lakeloom.llm import bpe, linededup, mixing, quality, tokencount
 
 QUERIES = {
+    "op1_bpe": bpe.op1,
     "op3_line_dedup": linededup.op3,
+    "op4_token_counts": tokencount.op4,
     "op5_mixing": mixing.op5,
     "op7_quality_rules": quality.op7,
 }
