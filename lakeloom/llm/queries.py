@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, linededup, mixing, quality, simhash, tokencount
+from lakeloom.llm import bpe, chat, linededup, mixing, quality, simhash, tokencount
 
 QUERIES = {
     "op1_bpe": bpe.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": tokencount.op4,
     "op5_mixing": mixing.op5,
     "op7_quality_rules": quality.op7,
+    "op9_chat_formatting": chat.op9,
     "op10_simhash": simhash.op10,
 }
 
