@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, chat, linededup, mixing, quality, simhash, tokencount
+from lakeloom.llm import bpe, chat, linededup, mixing, quality, simhash, tokencount, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1,
@@ -10,11 +10,13 @@ QUERIES = {
     "op4_token_counts": tokencount.op4,
     "op5_mixing": mixing.op5,
     "op7_quality_rules": quality.op7,
+    "op8_topk": topk.op8,
     "op9_chat_formatting": chat.op9,
     "op10_simhash": simhash.op10,
 }
 
 ORACLES = {
+    "op8_topk": topk.OP8_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_quality_rules": quality.OP7_SQL,
