@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, chat, linededup, mixing, quality, simhash, tokencount, topk
+from lakeloom.llm import bpe, chat, langid, linededup, mixing, quality, simhash, tokencount, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1,
     "op3_line_dedup": linededup.op3,
     "op4_token_counts": tokencount.op4,
     "op5_mixing": mixing.op5,
+    "op6_language_id": langid.op6,
     "op7_quality_rules": quality.op7,
     "op8_topk": topk.op8,
     "op9_chat_formatting": chat.op9,
