@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import bpe, chat, langid, linededup, mixing, quality, simhash, tokencount, topk
+from lakeloom.llm import bpe, chat, langid, linededup, mixing, quality, simhash, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_line_dedup": linededup.op3,
     "op4_token_counts": tokencount.op4,
     "op5_mixing": mixing.op5,
