@@ -26,7 +26,7 @@ from lakeloom.runtime import materialize, workers_see_package
 #: The classifier is fitted on at most so many labelled rows, half of them toxic if there are enough.
 SAMPLE = 4_000
 #: Terms need this chi-square and so many documents of the sample; at most VOCABULARY are kept.
-LEAST_CHI2, LEAST_DOCS, VOCABULARY = 24.0, 4, 4_000
+LEAST_CHI2, LEAST_DOCS, VOCABULARY = 24.0, 5, 4_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the prior among the votes, and the power of the cosine that a vote weighs.
 PRIOR, POWER = 0.2, 2.0
