@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -249,7 +250,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", pattern: str | None = N
 def _slices(batch: pa.RecordBatch, text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about so many bytes of text, so that long texts don't meet in memory."""
     start, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if size and size + n > chars:
             yield batch.slice(start, i - start)
