@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from lakeloom.operators.components import connected_components
 from lakeloom.operators.relational import numbered
 from lakeloom.runtime import materialize
 
+#: A graph of at most so many edges is walked by one task, as a round of jobs takes longer than such a walk: 16 bytes an edge, so tens of megabytes.
+ONE_TASK = 2_000_000
 #: A level of more nodes is numbered by ranges, a smaller one in one task.
 LEVEL = 100_000
 DIRECTIONS = ("out", "in", "both")
@@ -90,7 +93,43 @@ def _empty_guard(graph: Graph, *nodes: int) -> None:
             raise KeyError(node)
 
 
-def bfs(graph: Graph, source: int, max_depth: int | None = None, direction: str = "out", target: int | None = None) -> DataFrame:
+def _one_task(edges: DataFrame, limit: int) -> bool:
+    """Whether edges are at most limit; no more than that many are looked at."""
+    return edges.limit(limit + 1).count() <= limit
+
+
+def _adjacency(edges: pd.DataFrame) -> dict[int, list[int]]:
+    edges = edges.sort_values(["src", "dst"])
+    starts = np.flatnonzero(np.diff(edges["src"].to_numpy(), prepend=edges["src"].iloc[0] - 1)) if len(edges) else []
+    return {int(k): v.tolist() for k, v in zip(edges["src"].to_numpy()[starts], np.split(edges["dst"].to_numpy(), starts[1:]), strict=True)} if len(edges) else {}
+
+
+def _walk_levels(source: int, max_depth: int | None, target: int | None):
+    """BFS with a queue, for one task."""
+
+    def walk(edges: pd.DataFrame) -> pd.DataFrame:
+        after = _adjacency(edges)
+        order, parent, distance = [source], {source: None}, {source: 0}
+        for node in order:
+            if (max_depth is not None and distance[node] >= max_depth) or (target in distance and distance[node] >= distance[target]):
+                continue
+            for x in after.get(node, ()):
+                if x not in distance:
+                    distance[x], parent[x] = distance[node] + 1, node
+                    order.append(x)
+        return pd.DataFrame({"id": order, "distance": [distance[x] for x in order], "ord": range(len(order)), "parent": pd.array([parent[x] for x in order], dtype="Int64")})
+
+    return walk
+
+
+def _from(graph: Graph, steps: DataFrame, kernel, schema: str, nothing: list[tuple]) -> DataFrame:
+    """kernel over all steps in one task; nothing is the result without steps."""
+    if steps.isEmpty():
+        return graph.edges.sparkSession.createDataFrame(nothing, schema)
+    return steps.groupBy(F.lit("all").alias("all")).applyInPandas(lambda df: kernel(df[["src", "dst"]]), schema)
+
+
+def bfs(graph: Graph, source: int, max_depth: int | None = None, direction: str = "out", target: int | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """(id, distance, ord, parent) of what source reaches, level by level.
 
     ord is the order of a queue that takes neighbours by rising id: inside a level, by the order of the node that found
@@ -99,7 +138,10 @@ def bfs(graph: Graph, source: int, max_depth: int | None = None, direction: str
     """
     _empty_guard(graph, source)
     spark = graph.edges.sparkSession
-    steps = materialize(graph.neighbours(direction), "bfs-edges")
+    steps = graph.neighbours(direction)
+    if _one_task(steps, one_task):
+        return _from(graph, steps, _walk_levels(source, max_depth, target), "id long, distance int, ord long, parent long", [(source, 0, 0, None)])
+    steps = materialize(steps, "bfs-edges")
     level = spark.createDataFrame([(source, 0, 0, None)], "id long, distance int, ord long, parent long")
     seen, depth, count = materialize(level, "bfs"), 0, 1
     frontier = seen
@@ -121,10 +163,13 @@ def bfs(graph: Graph, source: int, max_depth: int | None = None, direction: str
     return seen
 
 
-def bfs_distance(graph: Graph, source: int, max_depth: int | None = None, direction: str = "out") -> DataFrame:
+def bfs_distance(graph: Graph, source: int, max_depth: int | None = None, direction: str = "out", one_task: int = ONE_TASK) -> DataFrame:
     """(id, distance); no order is kept, so no level is sorted."""
     _empty_guard(graph, source)
-    steps = materialize(graph.neighbours(direction), "bfs-edges")
+    steps = graph.neighbours(direction)
+    if _one_task(steps, one_task):
+        return bfs(graph, source, max_depth, direction, one_task=one_task).select("id", "distance")
+    steps = materialize(steps, "bfs-edges")
     frontier = graph.edges.sparkSession.createDataFrame([(source, 0)], "id long, distance int")
     seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
@@ -137,45 +182,51 @@ def bfs_distance(graph: Graph, source: int, max_depth: int | None = None, direct
     return seen
 
 
-def shortest_path(graph: Graph, source: int, target: int, direction: str = "out") -> list[int] | None:
+def shortest_path(graph: Graph, source: int, target: int, direction: str = "out", one_task: int = ONE_TASK) -> list[int] | None:
     """Nodes of a path with the fewest steps, each found by the earliest; None if there is none."""
     _empty_guard(graph, source, target)
     if source == target:
         return [source]
-    found = bfs(graph, source, direction=direction, target=target)
+    found = materialize(bfs(graph, source, direction=direction, target=target, one_task=one_task), "path")
     path = [target]
     step = found.filter(F.col("id") == target).first()
     if step is None:
         return None
+    if _one_task(found, one_task):
+        parent = dict(found.filter("parent is not null").select("id", "parent").collect())
+        while path[-1] in parent:
+            path.append(parent[path[-1]])
+        return path[::-1]
     while step.parent is not None:  # a job per step of the path; the tree stays distributed
         path.append(step.parent)
         step = found.filter(F.col("id") == step.parent).first()
     return path[::-1]
 
 
-def dfs(graph: Graph, source: int, direction: str = "out") -> DataFrame:
+def dfs(graph: Graph, source: int, direction: str = "out", one_task: int = ONE_TASK) -> DataFrame:
     """(id, ord) in pre-order, neighbours by rising id.
 
     The order is sequential by nature: the part that source reaches is found by distributed steps, and one task walks it
     with an explicit stack. It must fit in that task's memory.
     """
-    reached = bfs_distance(graph, source, direction=direction).select("id")
-    near = graph.neighbours(direction).join(reached.withColumnRenamed("id", "src"), "src", "left_semi")
+    _empty_guard(graph, source)
+    near = graph.neighbours(direction)
+    if not _one_task(near, one_task):
+        reached = bfs_distance(graph, source, direction=direction).select("id")
+        near = near.join(reached.withColumnRenamed("id", "src"), "src", "left_semi")
 
     def walk(edges: pd.DataFrame) -> pd.DataFrame:
-        after = {k: v.tolist() for k, v in edges.sort_values("dst", ascending=False).groupby("src")["dst"]}
+        after = _adjacency(edges)
         seen, order, stack = set(), [], [source]
         while stack:
             node = stack.pop()
             if node not in seen:
                 seen.add(node)
                 order.append(node)
-                stack.extend(x for x in after.get(node, []) if x not in seen)
+                stack.extend(x for x in reversed(after.get(node, ())) if x not in seen)
         return pd.DataFrame({"id": order, "ord": range(len(order))})
 
-    if near.isEmpty():
-        return graph.edges.sparkSession.createDataFrame([(source, 0)], "id long, ord long")
-    return near.groupBy(F.lit("all").alias("all")).applyInPandas(walk, "id long, ord long")
+    return _from(graph, near, walk, "id long, ord long", [(source, 0)])
 
 
 @dataclass(frozen=True)
@@ -185,13 +236,39 @@ class Ranks:
     converged: bool
 
 
-def pagerank(graph: Graph, damping: float = 0.85, tol: float = 1e-9, max_iter: int = 200) -> Ranks:
+def _rank_in_one_task(nodes: np.ndarray, edges: pd.DataFrame, damping: float, tol: float, max_iter: int) -> tuple[np.ndarray, int, bool]:
+    n = len(nodes)
+    src, dst = (np.searchsorted(nodes, edges[c].to_numpy()) for c in ("src", "dst"))
+    degree = np.bincount(src, minlength=n)
+    score = np.full(n, 1.0 / n)
+    for i in range(1, max_iter + 1):
+        gift = np.divide(score, degree, out=np.zeros(n), where=degree > 0)
+        new = (1.0 - damping) / n + damping * score[degree == 0].sum() / n + damping * np.bincount(dst, gift[src], n)
+        change, score = np.abs(new - score).sum(), new
+        if change < tol:
+            return score, i, True
+    return score, max_iter, False
+
+
+def pagerank(graph: Graph, damping: float = 0.85, tol: float = 1e-9, max_iter: int = 200, one_task: int = ONE_TASK) -> Ranks:
     """Uniform start and teleport; what nodes without out-edges hold goes to all alike; stops when the sum of changes is below tol."""
     if not 0 <= damping < 1 or tol <= 0 or max_iter < 1:
         raise ValueError("damping must be in [0, 1), tol positive, max_iter at least 1")
     n = graph.vertices.count()
     if not n:
         return Ranks(graph.vertices.withColumn("score", F.lit(0.0)), 0, True)
+    if n <= one_task and _one_task(graph.edges, one_task // 2):
+        rows = graph.vertices.select("id", F.lit(None).cast("long").alias("dst")).union(graph.neighbours("out"))
+
+        def run(df: pd.DataFrame) -> pd.DataFrame:
+            edges = df[df["dst"].notna()].rename(columns={"id": "src"}).astype("int64")
+            nodes = np.sort(df.loc[df["dst"].isna(), "id"].to_numpy())
+            score, rounds, converged = _rank_in_one_task(nodes, edges, damping, tol, max_iter)
+            return pd.DataFrame({"id": nodes, "score": score, "rounds": rounds, "converged": converged})
+
+        found = materialize(rows.groupBy(F.lit("all").alias("all")).applyInPandas(lambda df: run(df[["id", "dst"]]), "id long, score double, rounds int, converged boolean"), "pagerank")
+        said = found.select("rounds", "converged").first()
+        return Ranks(found.select("id", "score"), said.rounds, said.converged)
     degree = graph.neighbours("out").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
     nodes = materialize(graph.vertices.join(degree, "id", "left"), "pagerank-nodes")
     steps = materialize(graph.neighbours("out"), "pagerank-edges")
@@ -211,20 +288,40 @@ def pagerank(graph: Graph, damping: float = 0.85, tol: float = 1e-9, max_iter: i
     return Ranks(ranks.select("id", "score"), max_iter, False)
 
 
-def weak_components(graph: Graph) -> DataFrame:
+def _weak_in_one_task(edges: pd.DataFrame) -> pd.DataFrame:
+    nodes, both = np.unique(edges[["src", "dst"]].to_numpy(), return_inverse=True)
+    src, dst = both.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:  # hook greater roots to lesser ones, then flatten
+        a, b = label[src], label[dst]
+        if (a == b).all():
+            return pd.DataFrame({"id": nodes, "component": nodes[label]})
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(deeper := label[label], label):
+            label = deeper
+
+
+def weak_components(graph: Graph, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of all vertices; component is the smallest id in it."""
-    found = connected_components(graph.edges)
+    if _one_task(graph.edges, one_task):
+        found = _from(graph, graph.edges, _weak_in_one_task, "id long, component long", [])
+    else:
+        found = connected_components(graph.edges)
     return graph.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def strong_components(graph: Graph, one_task: int = 200_000) -> DataFrame:
+def strong_components(graph: Graph, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) of all vertices; component is the smallest id in it.
 
     Nodes without an in- or out-edge among those left are components of their own and are trimmed. Then the smallest id that
     reaches a node colours it; those that reach the colour's root back inside the colour are one component, and leave. With
     at most one_task edges left, one task finishes by the same rule.
     """
-    edges = materialize(graph.edges if graph.directed else graph.neighbours("both"), "scc-edges")
+    edges = graph.edges if graph.directed else graph.neighbours("both")
+    if _one_task(edges, one_task):
+        found = _from(graph, edges, _strong_in_one_task, "id long, component long", [])
+        return graph.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    edges = materialize(edges, "scc-edges")
     left = materialize(graph.vertices, "scc-left")
     done: list[DataFrame] = []
     while True:
@@ -241,7 +338,7 @@ def strong_components(graph: Graph, one_task: int = 200_000) -> DataFrame:
         if not size:
             break
         if size <= one_task:
-            done.append(edges.groupBy(F.lit("all").alias("all")).applyInPandas(_strong_in_one_task, "id long, component long"))
+            done.append(_from(graph, edges, _strong_in_one_task, "id long, component long", []))
             break
         colour = _spread(left.select("id", F.col("id").alias("colour")), edges)
         coloured = edges.join(colour.withColumnRenamed("id", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("id", "dst").withColumnRenamed("colour", "b"), "dst").filter("a = b")
@@ -276,8 +373,8 @@ def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _strong_in_one_task(edges: pd.DataFrame) -> pd.DataFrame:
     """Strong components of one task's edges: two passes of depth-first search with explicit stacks, the second over turned edges."""
-    out = {k: v.tolist() for k, v in edges.groupby("src")["dst"]}
-    into = {k: v.tolist() for k, v in edges.groupby("dst")["src"]}
+    out = _adjacency(edges)
+    into = _adjacency(edges.rename(columns={"src": "dst", "dst": "src"}))
     nodes = sorted(set(edges["src"]) | set(edges["dst"]))
     seen: set[int] = set()
     finished: list[int] = []

@@ -454,7 +454,7 @@ def scc_labels(spark, sf_dir):
 
 @query(_SCC + " SELECT component, count(*) AS size FROM c GROUP BY component")
 def scc_sizes(spark, sf_dir):
-    return gr.sizes(gr.strong_components(_graph(spark, sf_dir), one_task=0))
+    return gr.sizes(gr.strong_components(_graph(spark, sf_dir)))
 
 
 @query(_WCC + ", z AS (SELECT component, count(*) AS size FROM c GROUP BY component) SELECT component, size, (SELECT count(*) FROM z) AS components, round(100 * size / (SELECT count(*) FROM v), 1) AS percent FROM z ORDER BY size DESC, component LIMIT 1")
