@@ -22,7 +22,7 @@ VIDEO_ID = "^[A-Za-z0-9_-]{11}$"
 def unescape_nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """HTML entities decoded once, then Unicode NFC; there are no built-in functions for either."""
     for s in texts:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", html.unescape(t)))
+        yield pd.Series([None if t is None else unicodedata.normalize("NFC", html.unescape(t)) for t in s], dtype=object)
 
 
 def clean_marks(text: Column) -> Column:

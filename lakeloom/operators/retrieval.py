@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.functions import text as tx
 from lakeloom.operators.relational import asof
+from lakeloom.runtime import workers_see_package
 
 #: Where a text is cut, best first; the empty string cuts anywhere.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "। ", "? ", "! ", ". ", "; ", ", ", " ", ""]
@@ -109,19 +112,19 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
 
 def chunks(texts: DataFrame, keys: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """keys, chunk_id, start_index, text of texts(keys, text). A text is one row, so rows split apart from each other; null and blank texts have no chunks."""
-    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+    rows = texts.select(*keys, F.col("text").cast("string").alias("text"))
+    workers_see_package(texts.sparkSession)
+    added = [T.StructField("chunk_id", T.LongType()), T.StructField("start_index", T.LongType()), T.StructField("text", T.StringType())]
+    out = T.StructType([*[f for f in rows.schema.fields if f.name != "text"], *added])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["found"] = [list(enumerate(split_text(t, size, overlap))) if t else [] for t in batch["text"]]
-            rows = batch.drop(columns="text").explode("found").dropna(subset="found")
-            found = rows.pop("found")
-            rows["chunk_id"] = [f[0] for f in found]
-            rows["start_index"] = [f[1][0] for f in found]
-            rows["text"] = [f[1][1] for f in found]
-            yield rows
-
-    return texts.select(*keys, "text").mapInPandas(run, f"{kinds}, chunk_id long, start_index long, text string")
+            found = [(i, k, *c) for i, t in enumerate(batch.column("text").to_pylist()) for k, c in enumerate(split_text(t or "", size, overlap))]
+            row, k, start, text = zip(*found, strict=True) if found else ((), (), (), ())
+            kept = [batch.column(c).take(pa.array(row, pa.int64())) for c in keys]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(k, pa.int64()), pa.array(start, pa.int64()), pa.array(text, pa.string())], out.names)
+
+    return rows.mapInArrow(run, out)
 
 
 def time_chunks(pieces: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -210,10 +211,10 @@ def load(spark: SparkSession, data_path: str, prefix: str = "", as_of: date | No
     progress = []
     names = {layer: f"{prefix}{layer}" for layer in ("bronze", "silver", "gold")}
 
-    def save(layer: str, name: str, df: DataFrame) -> None:
+    def save(layer: str, name: str, make: Callable[[], DataFrame]) -> None:
         began = time.perf_counter()
         try:
-            df.write.mode("overwrite").format("parquet").saveAsTable(f"{names[layer]}.{name}")
+            make().write.mode("overwrite").format("parquet").saveAsTable(f"{names[layer]}.{name}")
             rows = spark.table(f"{names[layer]}.{name}").count()
         except Exception as e:
             raise StepFailed(f"{layer}.{name}") from e
@@ -222,14 +223,17 @@ def load(spark: SparkSession, data_path: str, prefix: str = "", as_of: date | No
     for db in names.values():
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
     for name in FILES:
-        save("bronze", name, read_raw(spark, data_path, name))
-    for name, clean in CLEANSED.items():
-        raw = spark.table(f"{names['bronze']}.{name}")
-        df = clean(raw, as_of) if clean is demographics else clean(raw)
-        save("silver", name, df.withColumn("dwh_create_date", F.current_timestamp()))
+        save("bronze", name, lambda name=name: read_raw(spark, data_path, name))
+
+    def cleansed(name: str) -> DataFrame:
+        raw, clean = spark.table(f"{names['bronze']}.{name}"), CLEANSED[name]
+        return (clean(raw, as_of) if clean is demographics else clean(raw)).withColumn("dwh_create_date", F.current_timestamp())
+
+    for name in CLEANSED:
+        save("silver", name, lambda name=name: cleansed(name))
     silver = {name: spark.table(f"{names['silver']}.{name}").drop("dwh_create_date") for name in FILES}
-    save("gold", "dim_customers", dim_customers(silver["crm_cust_info"], silver["erp_cust_az12"], silver["erp_loc_a101"]))
-    save("gold", "dim_products", dim_products(silver["crm_prd_info"], silver["erp_px_cat_g1v2"]))
+    save("gold", "dim_customers", lambda: dim_customers(silver["crm_cust_info"], silver["erp_cust_az12"], silver["erp_loc_a101"]))
+    save("gold", "dim_products", lambda: dim_products(silver["crm_prd_info"], silver["erp_px_cat_g1v2"]))
     dims = [spark.table(f"{names['gold']}.{d}") for d in ("dim_products", "dim_customers")]
     # The fact is a view over the stored dimensions, so that it is always up to date with the cleansed sales.
     fact_sales(silver["crm_sales_details"], *dims).createOrReplaceTempView(f"{prefix}fact_sales")

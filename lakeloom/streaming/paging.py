@@ -26,7 +26,7 @@ def respond(trace: DataFrame) -> DataFrame:
         state.update((json.dumps(machine.state()),))
         yield pd.DataFrame(out, columns=COLUMNS).astype({"paddr": "Int64", "evicted_frame": "Int32", "evicted_proc": "Int32", "evicted_page": "Int64"})
 
-    return trace.groupBy(F.lit("all").alias("machine")).applyInPandasWithState(step, RESPONSE, STATE, "append", GroupStateTimeout.NoTimeout)
+    return trace.withColumn("machine", F.lit("all")).groupBy("machine").applyInPandasWithState(step, RESPONSE, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def snapshot(responses: DataFrame) -> DataFrame:
