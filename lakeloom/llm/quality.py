@@ -54,7 +54,7 @@ RULES = (
     Rule("symbols", "n_symbols", True, 25, "n_words"),
     Rule("exclamations", "n_exclamations", True, 50, "n_words"),
     Rule("few_stop_words", "n_stop_words", False, 1, "n_words", at_least=50),
-    Rule("repeated_lines", "n_dup_lines", True, 30, "n_lines", at_least=50),
+    Rule("repeated_lines", "n_dup_lines", True, 60, "n_lines", at_least=50),
 )
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_stop_words", "n_lines")
