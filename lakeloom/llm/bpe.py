@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from lakeloom.runtime import workers_see_package
 
 #: A worker remembers at most so many distinct chunks, and so many characters of them.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 12_000_000
+REMEMBERED, REMEMBERED_CHARS = 240_000, 5_000_000
 
 
 def byte_characters() -> list[str]:
@@ -39,6 +39,31 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
 
 
+class Generations:
+    """Remembered values, young and old. What is asked for again becomes young; what stays old is forgotten at the next age()."""
+
+    def __init__(self):
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.chars = 0
+
+    def age(self) -> None:
+        self.old, self.young, self.chars = self.young, {}, 0
+
+    def learn(self, keys, meaning) -> None:
+        """All keys are young on return; meaning(list) gives the values of those that aren't remembered."""
+        young, old = self.young, self.old
+        missing = [k for k in set(keys) if k not in young]
+        new = []
+        for k in missing:
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
+        young.update(zip(new, meaning(new), strict=True))
+        self.chars += sum(map(len, missing))
+
+
 class Chunks:
     """Cuts texts into chunks, each a run of white space and the run of other characters after it.
 
@@ -48,27 +73,18 @@ class Chunks:
 
     def __init__(self, meaning, most: int = REMEMBERED, most_chars: int = REMEMBERED_CHARS):
         self.meaning, self.most, self.most_chars = meaning, most, most_chars
-        self.after_space: dict[str, object] = {}  # by the chunk without its first space
-        self.other: dict[str, object] = {}
-        self.chars = 0
+        self.after_space = Generations()  # by the chunk without its first space
+        self.other = Generations()
 
-    def _learn(self, units: list[str], known: dict[str, object], space: str) -> None:
-        new = [u for u in set(units) if u not in known]
-        size = sum(map(len, new))
-        if len(self.after_space) + len(self.other) + len(new) > self.most or self.chars + size > self.most_chars:
-            self.after_space.clear()
-            self.other.clear()
-            self.chars, new = 0, list(set(units))
-            size = sum(map(len, new))
-        self.chars += size
-        known.update(zip(new, self.meaning([u if u[:1] == "\n" else space + u for u in new] if space else new), strict=True))
-
-    def _values(self, units: list[str], known: dict[str, object], space: str) -> list:
+    def _values(self, units: list[str], known: Generations, space: str) -> list:
         try:
-            return list(map(known.__getitem__, units))
+            return list(map(known.young.__getitem__, units))
         except KeyError:
-            self._learn(units, known, space)
-            return list(map(known.__getitem__, units))
+            if len(self.after_space.young) + len(self.other.young) > self.most // 2 or self.after_space.chars + self.other.chars > self.most_chars // 2:
+                self.after_space.age()
+                self.other.age()
+            known.learn(units, lambda new: self.meaning([u if u[:1] == "\n" else space + u for u in new] if space else new))
+            return list(map(known.young.__getitem__, units))
 
     def values(self, text: str) -> list:
         """The values of a text's chunks in order."""
@@ -141,17 +157,16 @@ class Codec(Matches):
         # A match that is a token as a whole is that token, whatever its merges.
         model = models.BPE(vocab={said[token]: rank for token, rank in ranks.items()}, merges=merges, ignore_merges=True)
         super().__init__(model, ranks[NUL.encode()], pattern)
-        self.matches: dict[str, tuple[int, ...]] = {}
+        self.matches = Generations()
         self.chunks = Chunks(self._encode)
 
     def _encode(self, chunks: list[str]) -> list[tuple[int, ...]]:
         """The ids of each chunk: its matches are encoded by the library, each distinct one once."""
-        rows, ids = [self.pattern.findall(c) for c in chunks], self.matches
-        new = list({m for row in rows for m in row if m not in ids})
-        if len(ids) + len(new) > REMEMBERED // 2 or sum(map(len, new)) > REMEMBERED_CHARS:
-            ids = self.matches = {}
-            new = list({m for row in rows for m in row})
-        ids.update(zip(new, self.library_ids(new), strict=True))
+        rows = [self.pattern.findall(c) for c in chunks]
+        if len(self.matches.young) > REMEMBERED // 4 or self.matches.chars > REMEMBERED_CHARS // 4:
+            self.matches.age()
+        self.matches.learn((m for row in rows for m in row), self.library_ids)
+        ids = self.matches.young
         return [ids[row[0]] if len(row) == 1 else tuple(i for m in row for i in ids[m]) for row in rows]
 
     def ids(self, text: str) -> list[int]:
