@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,9 @@ from lakeloom.runtime import materialize, workers_see_package
 
 #: The classifier is fitted on at most so many labelled rows, half of them toxic if there are enough.
 SAMPLE = 4_000
-#: Terms need this chi-square and so many documents of the sample; at most VOCABULARY are kept.
-LEAST_CHI2, LEAST_DOCS, VOCABULARY = 24.0, 5, 4_000
+#: Terms need this chi-square, so many documents of the sample, and a share of the toxic ones so many times that of the
+#: others; at most VOCABULARY are kept.
+LEAST_CHI2, LEAST_DOCS, LIFT, VOCABULARY = 24.0, 5, 4.0, 4_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the prior among the votes, and the power of the cosine that a vote weighs.
 PRIOR, POWER = 0.2, 2.0
@@ -172,7 +173,7 @@ def _chosen(sample: DataFrame) -> list[str]:
     a, b, n = F.col("a"), F.col("b"), float(n1 + n0)
     cross = a * (n0 - b) - b * (n1 - a)
     chi2 = cross * cross * n / ((a + b) * (n - a - b) * n1 * n0)
-    rows = rows.filter((F.col("term") != "") & (a + b >= LEAST_DOCS) & (a + b < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
+    rows = rows.filter((F.col("term") != "") & (a + b >= LEAST_DOCS) & (a / n1 >= LIFT * b / n0)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
     return sorted(r.term for r in rows.orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect())
 
 
@@ -195,13 +196,20 @@ def _frequencies(texts: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
     return df[:size], int(df[size])
 
 
-def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Index]:
-    """docs: column t, never null. labelled: key, doc_id, t, toxic (0 or 1), all of them to learn from."""
-    order = Window.partitionBy("toxic").orderBy("key")
-    counts = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Index]:
+    """docs: doc_id, t (never null). known: doc_id, toxic (0 or 1), one row an id, all of them to learn from.
+
+    The sample's ids are picked from the labels alone; only they, at most sample rows, meet the texts.
+    """
+    key = F.concat(F.md5(F.col("doc_id").cast("string")), F.col("doc_id").cast("string"))
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     yes = min(counts.get(1, 0), max(sample // 2, sample - counts.get(0, 0)))
     no = min(counts.get(0, 0), sample - yes)
-    picked = labelled.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= F.when(F.col("toxic") == 1, yes).otherwise(no)).drop("i")
+    ids = None
+    for toxic, most in ((1, yes), (0, no)):
+        part = known.filter(F.col("toxic") == toxic).withColumn("key", key).orderBy("key").limit(most)
+        ids = part if ids is None else ids.unionByName(part)
+    picked = docs.join(F.broadcast(ids), "doc_id").select("key", "doc_id", "t", "toxic")
     picked = materialize(picked, "toxic-sample")
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     names = _chosen(picked)
@@ -241,11 +249,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     spark = docs.sparkSession
     workers_see_package(spark)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"), held_out(docs[doc_id]).alias("held_out"))
-    key = F.concat(F.md5(F.col("doc_id").cast("string")), F.col("doc_id").cast("string"))
     known = labels.select(labels[doc_id].alias("doc_id"), labels[label].cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # The sample is picked by id, before any text is read.
-    names, index = train(rows, _bounded(rows, known, sample).select(key.alias("key"), "doc_id", "t", "toxic"), sample)
+    names, index = train(rows, materialize(known, "toxic-labels"), sample)
     index.prior = index.prior if len(index.ids) else 0.0
     shared = spark.sparkContext.broadcast((names, index))
     here = rows.select("doc_id", "held_out", "t")
@@ -269,11 +275,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     return here.mapInArrow(run, out)
 
 
-def _bounded(rows: DataFrame, known: DataFrame, sample: int) -> DataFrame:
-    """rows with their labels. Labels are few beside texts: the join moves the labelled rows' texts only if labels can't be broadcast."""
-    return rows.join(known, "doc_id")
-
-
 def op2(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity(docs, labels)
