@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.components import connected_components
 from lakeloom.operators.relational import numbered
-from lakeloom.runtime import materialize
+from lakeloom.runtime import materialize, workers_see_package
 
 #: A graph of at most so many edges is walked by one task, as a round of jobs takes longer than such a walk: 16 bytes an edge, so tens of megabytes.
 ONE_TASK = 2_000_000
@@ -124,6 +124,7 @@ def _walk_levels(source: int, max_depth: int | None, target: int | None):
 
 def _from(graph: Graph, steps: DataFrame, kernel, schema: str, nothing: list[tuple]) -> DataFrame:
     """kernel over all steps in one task; nothing is the result without steps."""
+    workers_see_package(graph.edges.sparkSession)
     if steps.isEmpty():
         return graph.edges.sparkSession.createDataFrame(nothing, schema)
     return steps.groupBy(F.lit("all").alias("all")).applyInPandas(lambda df: kernel(df[["src", "dst"]]), schema)
@@ -258,6 +259,7 @@ def pagerank(graph: Graph, damping: float = 0.85, tol: float = 1e-9, max_iter: i
     if not n:
         return Ranks(graph.vertices.withColumn("score", F.lit(0.0)), 0, True)
     if n <= one_task and _one_task(graph.edges, one_task // 2):
+        workers_see_package(graph.edges.sparkSession)
         rows = graph.vertices.select("id", F.lit(None).cast("long").alias("dst")).union(graph.neighbours("out"))
 
         def run(df: pd.DataFrame) -> pd.DataFrame:

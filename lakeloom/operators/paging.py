@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.runtime import workers_see_package
+
 #: Fixed values of the simulated machine.
 PAGE_SIZE, PAGES, FRAMES, READ_ONLY_PAGES = 4096, 64, 16, 4
 
@@ -78,6 +80,8 @@ def simulate(trace: DataFrame) -> DataFrame:
     the sorted accesses and holds FRAMES entries, whatever the trace's length.
     """
 
+    workers_see_package(trace.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = Machine()
         for b in batches:

@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from lakeloom.functions import text as tx
 from lakeloom.operators.relational import asof
-from lakeloom.runtime import workers_see_package
+from lakeloom.runtime import materialize, small, workers_see_package
 
 #: Where a text is cut, best first; the empty string cuts anywhere.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "। ", "? ", "! ", ". ", "; ", ", ", " ", ""]
 CHUNK_SIZE, CHUNK_OVERLAP, TOP_K, MOST_TURNS = 800, 150, 4, 4
 MMR_LAMBDA = 0.5
+#: Queries that meet a vector at a time.
+QUERY_BLOCK = 256
 NOT_FOUND = "The transcript does not say."
 CONDENSE = "Rewrite the last question so that it can be read without the conversation.\n\nConversation:\n%s\n\nQuestion: %s\nRewritten question:"
 ANSWER = "Answer from the excerpts only, and name their time marks. If they do not hold the answer, say: %s\n\nExcerpts:\n%s\n\nConversation:\n%s\n\nQuestion: %s\nAnswer:"
@@ -149,6 +151,8 @@ def hashing_embedding(texts: list[str], dims: int = 64) -> np.ndarray:
 def embed(df: DataFrame, text: str = "text", model: Callable[[], Callable[[list[str]], np.ndarray]] = lambda: hashing_embedding) -> DataFrame:
     """df with embedding array<float>. model() is called once a task and gives the function from texts to vectors."""
 
+    workers_see_package(df.sparkSession)
+
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = model()
@@ -161,12 +165,18 @@ def embed(df: DataFrame, text: str = "text", model: Callable[[], Callable[[list[
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, similarity): the k most similar by cosine, exact. queries: query_id, vector; a stated set.
 
-    The queries are gathered into blocks that fit in a row; each block meets each vector row once, and only the best k of a
-    task leave it before the last ranking.
+    Queries are gathered into blocks of QUERY_BLOCK, one row each. A vector meets every block once and scores against the
+    block in place; only the best k of each task's rows per query meet in the last ranking.
     """
     unit = vectors.select(F.col(vec_id).alias("vec_id"), tx.l2_normalised(F.col(embedding)).alias("v"))
-    asked = queries.select("query_id", tx.l2_normalised(F.col("vector")).alias("q"))
-    pairs = unit.join(F.broadcast(asked), F.lit(True)).select("query_id", "vec_id", F.round(tx.dot(F.col("q"), F.col("v")), 9).alias("similarity"))
+    asked = materialize(queries.select("query_id", tx.l2_normalised(F.col("vector")).alias("q")), "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    asked = asked.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    width = asked.agg(F.max(F.size("asked") * F.size(F.col("asked")[0]["q"]))).first()[0] or 0
+    met = unit.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(small(asked, 8 * width), "block")
+    scored = F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(tx.dot(x["q"], F.col("v")), 9).alias("similarity")))
+    pairs = met.select("vec_id", F.explode(scored).alias("s")).select("s.query_id", "vec_id", "s.similarity")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 
@@ -192,6 +202,7 @@ def diverse(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, lam: float =
             worst = np.maximum(worst, v @ v[best])
         return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "pick": range(1, len(chosen) + 1), "vec_id": rows["vec_id"].iloc[chosen].to_numpy()})
 
+    workers_see_package(vectors.sparkSession)
     kind = queries.schema["query_id"].dataType.simpleString()
     return near.groupBy("query_id").applyInPandas(pick, f"query_id {kind}, pick int, vec_id {vectors.schema[vec_id].dataType.simpleString()}")
 

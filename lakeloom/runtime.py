@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = tempfile.mkdtemp(prefix="lakeloom-")
+        atexit.register(shutil.rmtree, there, ignore_errors=True)
         context.setCheckpointDir(f"file://{there}")
         there = f"file://{there}"
     return there
@@ -65,4 +68,5 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
+    workers_see_package(spark)
     return [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables]

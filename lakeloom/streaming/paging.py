@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lakeloom.operators.paging import COLUMNS, RESPONSE, Machine
+from lakeloom.runtime import workers_see_package
 
 #: One state for all accesses, as frames are shared; it is a few hundred bytes.
 STATE = "machine string"
@@ -26,6 +27,7 @@ def respond(trace: DataFrame) -> DataFrame:
         state.update((json.dumps(machine.state()),))
         yield pd.DataFrame(out, columns=COLUMNS).astype({"paddr": "Int64", "evicted_frame": "Int32", "evicted_proc": "Int32", "evicted_page": "Int64"})
 
+    workers_see_package(trace.sparkSession)
     return trace.withColumn("machine", F.lit("all")).groupBy("machine").applyInPandasWithState(step, RESPONSE, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
