@@ -135,14 +135,21 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str]
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """rows: key (any order that reruns keep), t, lang, all of them to learn from."""
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    """rows: key (text whose MD5 sum is the order of the sample), t, lang, all of them to learn from."""
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((FEATURES, 0), dtype=np.float32), np.zeros(0), 1.0)
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    order = Window.partitionBy("lang").orderBy("key")
-    picked = rows.select("key", "lang", "t").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= max(5, sample // len(languages)))
+    # A language's first documents by u, a number in [0, 1) from the key. Only those below a bound that about four times as
+    # many as wanted are below move at all.
+    most = max(5, sample // len(languages))
+    u = F.conv(F.substring(F.md5("key"), 1, 13), 16, 10).cast("double") / 2**52
+    bounds = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * most / n))])
+    order = Window.partitionBy("lang").orderBy("u", "key")
+    near = rows.select("key", "lang", "t", u.alias("u")).filter(F.col("u") <= F.element_at(bounds, F.col("lang")))
+    picked = near.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= most).drop("u")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +176,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     spark = docs.sparkSession
     workers_see_package(spark)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("lang"), held_out(docs[doc_id], parts, part).alias("held_out"))
-    key = F.concat(F.md5(F.col("doc_id").cast("string")), F.col("doc_id").cast("string"))
+    key = F.col("doc_id").cast("string")
     learn = rows.filter(~F.col("held_out") & F.col("lang").isNotNull() & (F.coalesce(F.length("t"), F.lit(0)) > 0)).select(key.alias("key"), "t", "lang")
     shared = spark.sparkContext.broadcast(train(learn, sample))
     here = rows.select("doc_id", "held_out", "t")
