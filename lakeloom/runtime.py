@@ -55,8 +55,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if count() * row_bytes is at most limit; else df, so that the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    """df with a broadcast hint if its rows, measured as text and with row_bytes more each, come to at most limit; else df, so that the join shuffles."""
+    text = F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    rows, size = df.agg(F.count("*"), F.sum(text)).first()
+    return F.broadcast(df) if rows * row_bytes + (size or 0) <= limit else df
 
 
 def workers_see_package(spark: SparkSession) -> None:
