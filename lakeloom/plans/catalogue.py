@@ -312,17 +312,18 @@ _V = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
 _START = "(SELECT min(src) FROM e)"
 
 
-def _edges(spark, sf_dir):
-    """Steps between users that follow each other, from strong errors. The next event is found by its place, not in one sorted task."""
+def _edges(spark, sf_dir, strong=True):
+    """Steps between users that follow each other: from strong errors, as the SQL asks, or from every event. The next event is found by its place, not in one sorted task."""
     (events,) = read(spark, sf_dir, "events")
     placed = rel.numbered(events.select("ts", "event_id", "user_id", "event_type", "value"), ["ts", "event_id"], "at")
     after = placed.select((F.col("at") - 1).alias("at"), F.col("user_id").alias("dst"))
-    found = placed.filter("event_type = 'error' and value > 130").join(after, "at").select(F.col("user_id").alias("src"), "dst")
+    placed = placed.filter("event_type = 'error' and value > 130") if strong else placed
+    found = placed.join(after, "at").select(F.col("user_id").alias("src"), "dst")
     return materialize(found, "transitions")
 
 
-def _graph(spark, sf_dir, directed=True):
-    edges = _edges(spark, sf_dir).filter("src <> dst")
+def _graph(spark, sf_dir, directed=True, strong=True):
+    edges = _edges(spark, sf_dir, strong).filter("src <> dst")
     return gr.build(edges, directed)
 
 
@@ -394,13 +395,13 @@ def bfs_both(spark, sf_dir):
 
 @query()
 def bfs_order(spark, sf_dir):
-    graph = _graph(spark, sf_dir)
+    graph = _graph(spark, sf_dir, strong=False)
     return gr.bfs(graph, _start(graph), direction="both").select("id", "distance", "ord")
 
 
 @query()
 def shortest_path_nodes(spark, sf_dir):
-    graph = _graph(spark, sf_dir)
+    graph = _graph(spark, sf_dir, strong=False)
     end = graph.vertices.agg(F.max("id")).first()[0]
     path = gr.shortest_path(graph, _start(graph), end, "both") or []
     return spark.createDataFrame(list(enumerate(path)), "step long, id long")
@@ -408,7 +409,7 @@ def shortest_path_nodes(spark, sf_dir):
 
 @query()
 def dfs_preorder(spark, sf_dir):
-    graph = _graph(spark, sf_dir)
+    graph = _graph(spark, sf_dir, strong=False)
     return gr.dfs(graph, _start(graph), "both")
 
 

@@ -175,6 +175,32 @@ def test_edge_lists(spark, tmp_path):
         edgelist.load_graph(spark, f"{tmp_path}/none.txt")
 
 
+def test_walks_without_sql_take_every_transition(spark, tmp_path):
+    """None of these events is a strong error, so a graph of those alone would be empty."""
+    draw = random.Random(12)
+    users = [draw.randrange(30) for _ in range(120)]
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), u, "click", 1.0) for k, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    near = {}
+    for u, v in zip(users, users[1:], strict=False):
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    order, dist = plain_bfs(near, min(users))
+    got = catalogue.QUERIES["bfs_order"](spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.id for r in got] == order and {r.id: r.distance for r in got} == dist
+    path = [r.id for r in catalogue.QUERIES["shortest_path_nodes"](spark, str(tmp_path)).orderBy("step").collect()]
+    assert path[0] == min(users) and path[-1] == max(users) and len(path) == dist[max(users)] + 1
+    assert all(b in near[a] for a, b in zip(path, path[1:], strict=False))
+    stack, pre = [min(users)], []
+    while stack:
+        x = stack.pop()
+        if x not in pre:
+            pre.append(x)
+            stack += sorted(near[x] - set(pre), reverse=True)
+    assert [r.id for r in catalogue.QUERIES["dfs_preorder"](spark, str(tmp_path)).orderBy("ord").collect()] == pre
+
+
 def test_social_graph():
     edges = synthetic.social_edges(200, 5)
     assert edges == synthetic.social_edges(200, 5) == sorted(set(edges)) and all(u < v for u, v in edges)
