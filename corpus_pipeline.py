@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, linededup, mixing, quality, simhash
+from lakeloom.llm import bpe, linededup, mixing, neardup, quality, simhash
 from lakeloom.runtime import materialize
 
 
@@ -21,8 +21,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link."""
-    return simhash.one_of_each(docs)
+    """One document of each group whose fingerprints link, and of those one of each group whose shingles of five words are alike."""
+    return neardup.one_of_each(materialize(simhash.one_of_each(docs), "simhash-kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -558,6 +558,36 @@ def test_pipeline(spark, sf_dir):
     assert all(abs(taken[s] - want[s]) <= max(len(text[i].split()) for i in stay) for s in sizes)
 
 
+def five_word_sets(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_alike_texts_of_far_fingerprints(spark, sf_dir):
+    """Of texts whose sets of five-word shingles are alike by 0.8 or more, one stays, however many bits their fingerprints differ in."""
+    import corpus_pipeline
+
+    draw, texts = random.Random(14), []
+    for k in range(40):
+        words = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([60, 150, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(k % 4):
+            other = list(words)
+            for _ in range(draw.randint(1, max(1, len(words) // 25))):
+                other[draw.randrange(len(other))] = f"new{draw.randrange(3000)}"
+            texts.append(" ".join(other))
+    sets = [five_word_sets(t) for t in texts]
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [brute_fingerprint(t) for t in texts]
+    assert any((prints[i] ^ prints[j]).bit_count() > 3 for i, j in alike)
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, texts), sf_dir)
+    stay = {r.doc_id for r in kept.collect()}
+    assert not [(i, j) for i, j in alike if i in stay and j in stay]
+    in_pairs = {i for pair in alike for i in pair}
+    groups = brute_groups(prints)
+    assert all(i in stay for i in range(len(texts)) if i not in in_pairs and groups.count(groups[i]) == 1)
+
+
 def test_pipeline_stages_on_odd_rows(spark, sf_dir):
     import corpus_pipeline
 
