@@ -2,9 +2,8 @@
 
 A template is any function from turns to a string. Each prefix of a conversation is rendered, and consecutive outputs are
 compared: what a turn adds is its span. A template that changes what it wrote before is found out, as the earlier output is
-then no prefix of the later one. A template may say that a turn's rendering depends on no more than so many turns before it;
-then only those are rendered, a conversation of any length streams through bounded memory, and its first turns are rendered
-in full as well to hold the template to its word.
+then no prefix of the later one. Every prefix is rendered in full, whatever the template, so a conversation is in memory
+and its cost grows with the square of its turns.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from pyspark.sql import types as T
 from lakeloom.runtime import workers_see_package
 
 Turn = tuple[str, str]
-#: The first turns of a conversation whose prefixes are rendered in full, whatever the template says.
-PROVEN = 8
 
 
 class RewritesHistory(ValueError):
@@ -36,8 +33,6 @@ class BracketTemplate:
     so that none is left and reading takes them away again.
     """
 
-    #: Turns before a turn that its rendering depends on.
-    context = 0
     start = "<s>"
     frames = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n")}
     named = ("[ROLE]", "[TEXT]", "[/TEXT]")
@@ -77,32 +72,15 @@ def turn_spans(template: Callable[[list[Turn]], str], turns: Iterable[Turn]) ->
 
     Raises RewritesHistory where an output doesn't begin with the one before it.
     """
-    memory = getattr(template, "context", None)
     seen: list[Turn] = []
-    full: list[Turn] = []
-    before = ""  # the rendering of the turns in hand
-    proof = ""
+    before = template([])
     for k, turn in enumerate(turns):
-        if k == 0:
-            after = template([turn])
-            if not after.startswith(template([])):
-                raise RewritesHistory("turn 0")
-            span = after
-        else:
-            before = template(seen)
-            after = template([*seen, turn])
-            if not after.startswith(before):
-                raise RewritesHistory(f"turn {k}")
-            span = after[len(before) :]
-        if memory is not None and k < PROVEN:
-            full.append(turn)
-            proof += span
-            if template(full) != proof:
-                raise RewritesHistory(f"turn {k} depends on more than {memory} turns")
         seen.append(turn)
-        if memory is not None:
-            del seen[: max(0, len(seen) - memory)]
-        yield span
+        after = template([*seen])
+        if not after.startswith(before):
+            raise RewritesHistory(f"turn {k}")
+        yield after if k == 0 else after[len(before) :]
+        before = after
 
 
 def _ordered(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
@@ -138,8 +116,7 @@ def format_conversations(conversations: DataFrame, template=None, conv_id="conv_
 
     Offsets are code points of formatted; loss marks the assistant's texts. If the template rewrites history, formatted is the
     rendering of all turns and spans is null. Null texts and roles are empty. A null conv_id is a conversation like any other.
-    Other columns are not carried along. A conversation's rendering is one value, so it must fit in memory here; digests()
-    has no such limit.
+    Other columns are not carried along. A conversation and its rendering must fit in memory.
     """
     workers_see_package(conversations.sparkSession)
     template = template or BracketTemplate()
@@ -180,8 +157,8 @@ def chain_first(first, rest):
 def digests(conversations: DataFrame, template=None, conv_id="conv_id", turn="turn", role="role", text="text") -> DataFrame:
     """One row per conversation, read back from the output: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Turns stream through; one turn is in memory at a time. The template must have read() and unescape(); one that rewrites
-    history fails. Nulls and ties as in format_conversations().
+    One conversation is in memory at a time. The template must have read() and unescape(); one that rewrites history fails.
+    Nulls and ties as in format_conversations().
     """
     workers_see_package(conversations.sparkSession)
     template = template or BracketTemplate()

@@ -361,6 +361,28 @@ def test_rewriting_templates_are_found(spark):
         list(chat.turn_spans(Liar(), [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]))
 
 
+def test_late_rewrites_are_found(spark):
+    """A template that declares a context and changes what it wrote only after many turns, for good or for one turn."""
+    df = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(14)], TURNS)
+
+    class Forgets(chat.BracketTemplate):
+        context = 0
+
+        def __call__(self, turns):
+            return super().__call__(turns[-10:])
+
+    class Slips(chat.BracketTemplate):
+        context = 0
+
+        def __call__(self, turns):
+            return super().__call__(turns[1:] if len(turns) == 12 else turns)
+
+    for template in (Forgets(), Slips()):
+        row = chat.format_conversations(df, template).first()
+        assert row.rewrites_history and row.spans is None
+        assert row.formatted == template([("user", f"t{k}") for k in range(14)])
+
+
 # --- op10 -----------------------------------------------------------------------------------------------------------
 
 
