@@ -1,7 +1,7 @@
 """Near-dedup by Jaccard similarity of shingles of five words.
 
 Each text gets BANDS keys, each made of the least values of its shingles under ROWS permutations. Texts that share a key are
-candidates; two texts of similarity 0.8 share none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 2e-8. Only candidates
+candidates; two texts of similarity 0.8 share none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3e-5. Only candidates
 send their shingles, once for each set of texts that share a key, and there all pairs that aren't joined yet are compared
 exactly. Components over all sets come from alternating stars.
 """
