@@ -1,22 +1,24 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings; the vocabulary is what tells the labels of the learning sample apart (chi-square), and
-its document frequencies are counted over all documents. The labelled examples are kept in an inverted index, in blocks, with
-the largest weight of each term in each block. A text's best possible cosine in a block bounds that block; blocks are read
-from the best bound down until the k-th best cosine found is above the next bound, so the neighbours are exact. Neighbours
-vote with their closeness against a prior; a logistic curve fitted on votes of the examples about each other makes a
-probability of it, and the nearest examples are the evidence.
+The terms are all words of the labelled examples, whichever label they have. A term's weight is its TF-IDF, with document
+frequencies over all documents, times 1 + GAIN times the strength of its tie to the label in the sample (the root of
+chi-square per document); without that factor, neighbours share a topic, not a tone. The examples are kept in an inverted
+index, in blocks, with the largest weight of each term in each block. A text's best possible cosine in a block bounds that
+block; blocks are read from the best bound down until the k-th best cosine found is above the next bound, so the neighbours
+are exact. Neighbours vote with their closeness against a prior; a logistic curve fitted on votes of the examples about each
+other makes a probability of it, and the nearest examples are the evidence.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,27 +27,18 @@ from lakeloom.runtime import materialize, workers_see_package
 
 #: The classifier is fitted on at most so many labelled rows, half of them toxic if there are enough.
 SAMPLE = 4_000
-#: Terms need this chi-square, so many documents of the sample, and a share of the toxic ones so many times that of the
-#: others; at most VOCABULARY are kept.
-LEAST_CHI2, LEAST_DOCS, LIFT, VOCABULARY = 24.0, 5, 4.0, 4_000
+#: How much a tie to the label adds to a term's weight; chi-square up to NOISE counts as no tie (1 of 100 has more by chance).
+GAIN, NOISE = 20.0, 6.6
 NEIGHBOURS, BLOCK = 15, 64
-#: Weight of the prior among the votes, and the power of the cosine that a vote weighs.
+#: Weight of the prior among the votes, as a part of one neighbour's, and the power of the cosine that a vote weighs.
 PRIOR, POWER = 0.2, 2.0
 EVIDENCE = 3
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-#: Beginnings of words, in characters; a beginning is written with a star.
-STEMS = (4, 5, 6)
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> Counter:
-    """The terms of a text and how often they occur."""
-    words = Counter(WORD.findall(text.lower()))
-    found = Counter(words)
-    for word, n in words.items():
-        for k in STEMS:
-            if len(word) >= k:
-                found[word[:k] + "*"] += n
-    return found
+    """The words of a text, lower-cased runs of letters, and how often they occur."""
+    return Counter(WORD.findall(text.lower()))
 
 
 def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
@@ -58,86 +51,93 @@ class Vocabulary:
 
     def __init__(self, names: list[str]):
         self.number = {t: i for i, t in enumerate(names)}
-        self.memory: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.memory.get(word)
-        if found is None:
-            if len(self.memory) > 300_000:
-                self.memory.clear()
-            names = [word, *[word[:k] + "*" for k in STEMS if len(word) >= k]]
-            found = self.memory[word] = tuple(self.number[t] for t in names if t in self.number)
-        return found
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts: Counter = Counter()
-        for word in WORD.findall(text.lower()):
-            for i in self.word(word):
-                counts[i] += 1
-        at = np.array(sorted(counts), dtype=np.int64)
-        return at, np.array([counts[i] for i in at], dtype=np.float64)
+        number = self.number
+        found = sorted((number[t], n) for t, n in terms(text).items() if t in number)
+        return np.array([t for t, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.float64)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after another, and the lengths of the ranges."""
+    n = ends - starts
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - starts, n), n
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples as postings by term, in blocks of BLOCK examples."""
+    """Unit vectors of the examples as postings by term, cut into runs of one block of BLOCK examples."""
 
     ids: list
     labels: np.ndarray
-    idf: np.ndarray
+    weight: np.ndarray  # of each term
     vectors: list[tuple[np.ndarray, np.ndarray]]
     prior: float
     slope: float = 4.0
     shift: float = 0.0
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def __post_init__(self):
         self.blocks = max(1, -(-len(self.ids) // BLOCK))
-        rows = [[] for _ in self.idf]
-        for i, (at, w) in enumerate(self.vectors):
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                rows[t].append((i, x))
-        self.postings = [(np.array([i for i, _ in r], dtype=np.int64), np.array([x for _, x in r])) for r in rows]
-        self.most = np.zeros((len(self.idf), self.blocks), dtype=np.float32)  # rounded up below, so that bounds hold
-        self.starts = np.zeros((len(self.idf), self.blocks + 1), dtype=np.int32)
-        for t, (i, x) in enumerate(self.postings):
-            np.maximum.at(self.most[t], i // BLOCK, np.nextafter(x.astype(np.float32), np.float32(2)))
-            self.starts[t] = np.searchsorted(i, np.arange(self.blocks + 1) * BLOCK)
+        row = np.repeat(np.arange(len(self.vectors)), [len(at) for at, _ in self.vectors])
+        term = np.concatenate([at for at, _ in self.vectors] or [np.zeros(0, dtype=np.int64)])
+        value = np.concatenate([w for _, w in self.vectors] or [np.zeros(0)])
+        order = np.lexsort((row, term))
+        self.row, self.value, term = row[order].astype(np.int32), value[order], term[order]
+        block = self.row // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, dtype=np.int64)
+        self.entry = np.append(first, len(term))  # where the postings of a run begin
+        self.block = block[first]
+        most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2))  # rounded up, so that bounds hold
+        self.run = np.searchsorted(term[first], np.arange(len(self.weight) + 1))  # where the runs of a term begin
+        self.vectors = []
 
     def unit(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[at]
-        norm = np.sqrt((w * w).sum())
-        return w / norm if norm > 0 else w
+        return unit(self.weight, at, counts)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0, ties to the earlier example."""
-        if not len(at):
+        runs, n = _ranges(self.run[at], self.run[at + 1])
+        if not len(runs):
             return []
-        bound = w.astype(np.float64) @ self.most[at].astype(np.float64) * (1 + 1e-9)
+        w = np.repeat(w, n)
+        block = self.block[runs]
+        bound = np.bincount(block, w * self.most[runs], self.blocks) * (1 + 1e-9)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= k and -found[k - 1][0] > bound[b]):
-                break
-            cosine = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                lo, hi = self.starts[t, b], self.starts[t, b + 1]
-                if hi > lo:
-                    i, y = self.postings[t]
-                    cosine[i[lo:hi] - b * BLOCK] += x * y[lo:hi]
+        done, step = 0, 8
+        while done < len(order) and not (len(found) >= k and found[k - 1][0] > bound[order[done]]):
+            now = np.zeros(self.blocks, dtype=bool)
+            now[order[done : done + step]] = True
+            pick = now[block]
+            own = runs[pick]
+            entries, n = _ranges(self.entry[own], self.entry[own + 1])
+            rows = self.row[entries]
+            cosine = np.bincount(rows, np.repeat(w[pick], n) * self.value[entries], len(self.ids))
+            if without >= 0:
+                cosine[without] = 0
             hits = np.flatnonzero(cosine > 0)
-            found = sorted(found + [(-float(cosine[h]), int(b * BLOCK + h)) for h in hits if b * BLOCK + h != without])[:k]
-        return [(-c, i) for c, i in found]
+            if len(hits) > k:
+                hits = hits[cosine[hits] >= np.partition(cosine[hits], -k)[-k]]
+            found = sorted(found + [(float(cosine[h]), int(h)) for h in hits], key=lambda x: (-x[0], x[1]))[:k]
+            done, step = done + step, step * 2
+        return found
 
     def vote(self, near: list[tuple[float, int]]) -> float:
+        """The toxic share of the neighbours by closeness, with a part of a neighbour that votes the share of toxic labels."""
         weight = [min(1.0, c) ** POWER for c, _ in near]
-        return (sum(w * self.labels[i] for w, (_, i) in zip(weight, near, strict=True)) + PRIOR * self.prior) / (sum(weight) + PRIOR)
+        if not weight or not sum(weight):
+            return self.prior
+        extra = PRIOR * sum(weight) / len(weight)
+        return (sum(w * self.labels[i] for w, (_, i) in zip(weight, near, strict=True)) + extra * self.prior) / (sum(weight) + extra)
 
     def probability(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * (vote - 0.5) + self.shift, -30, 30))))
 
-    def calibrate(self) -> None:
+    def calibrate(self, votes: np.ndarray) -> None:
         """Fits the curve to the votes that the others give each example (logistic regression by Newton's steps, with a small penalty)."""
-        x = np.array([self.vote(self.nearest(at, w, without=i)) - 0.5 for i, (at, w) in enumerate(self.vectors)])
+        x = votes - 0.5
         y = self.labels.astype(np.float64)
         design, beta = np.stack([x, np.ones_like(x)], axis=1), np.array([4.0, 0.0])
         # The sample may hold more toxic rows than there are; weights undo that.
@@ -154,38 +154,32 @@ class Index:
         self.slope, self.shift = max(1.0, float(beta[0])), float(beta[1])
 
 
-def _chosen(sample: DataFrame) -> list[str]:
-    """The vocabulary, from the learning sample (key, t, toxic)."""
+def unit(weight: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(counts)) * weight[at]
+    norm = np.sqrt((w * w).sum())
+    return w / norm if norm > 0 else w
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yes, no = Counter(), Counter()
-        for batch in batches:
-            for text, toxic in zip(batch.column("t").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (yes if toxic else no).update(terms(text).keys())
-        yes[""], no[""] = yes[""], no[""]
-        names = [*(yes.keys() | no.keys())]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([yes[t] for t in names], pa.int64()), pa.array([no[t] for t in names], pa.int64())], ["term", "a", "b"])
-
-    n1, n0 = (sample.filter(F.col("toxic") == v).count() for v in (1, 0))
-    if not n1 or not n0:
-        return []
-    rows = sample.select("t", "toxic").mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-    a, b, n = F.col("a"), F.col("b"), float(n1 + n0)
-    cross = a * (n0 - b) - b * (n1 - a)
-    chi2 = cross * cross * n / ((a + b) * (n - a - b) * n1 * n0)
-    rows = rows.filter((F.col("term") != "") & (a + b >= LEAST_DOCS) & (a / n1 >= LIFT * b / n0)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-    return sorted(r.term for r in rows.orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect())
-
-
-def _frequencies(texts: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
-    """Documents with each term, and documents, over all rows of column t."""
-    size = len(names)
+
+def term_weights(df: np.ndarray, n: int, yes: np.ndarray, all_: np.ndarray, n_yes: int, n_all: int) -> np.ndarray:
+    """IDF (df of n documents) times the tie to the label: yes of n_yes toxic and all_ of n_all examples hold the term."""
+    idf = np.log((1 + n) / (1 + df)) + 1.0
+    n_no, no = n_all - n_yes, all_ - yes
+    if not n_yes or not n_no:
+        return idf
+    cross = yes * (n_no - no) - no * (n_yes - yes)
+    chi2 = cross * cross * float(n_all) / np.maximum(all_ * (n_all - all_) * float(n_yes) * n_no, 1e-9)
+    return idf * (1 + GAIN * np.sqrt(np.maximum(0.0, chi2 - NOISE) / n_all))
+
+
+def _frequencies(texts: DataFrame, names) -> tuple[np.ndarray, int]:
+    """Documents with each term, and documents, over all rows of column t. names: the broadcast terms."""
+    size = len(names.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, df = Vocabulary(names), np.zeros(size + 1, dtype=np.int64)
+        number, df = {t: i for i, t in enumerate(names.value)}, np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             for text in batch.column("t"):
-                df[own.of(text.as_py())[0]] += 1
+                df[[number[t] for t in set(WORD.findall(text.as_py().lower())) if t in number]] += 1
                 df[size] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["f", "n"])
@@ -196,11 +190,13 @@ def _frequencies(texts: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
     return df[:size], int(df[size])
 
 
-def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> tuple[list[str], Index]:
-    """docs: doc_id, t (never null). known: doc_id, toxic (0 or 1), one row an id, all of them to learn from.
+def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE):
+    """(broadcast terms, Index). docs: doc_id, t (never null). known: doc_id, toxic (0 or 1), one row an id, all of them to learn from.
 
-    The sample's ids are picked from the labels alone; only they, at most sample rows, meet the texts.
+    The sample's ids are picked from the labels alone; only they, at most sample ids, meet the texts, and of an id with
+    several texts only the least one is an example. The driver gets the words of the sample, whatever the number of documents.
     """
+    spark = docs.sparkSession
     key = F.concat(F.md5(F.col("doc_id").cast("string")), F.col("doc_id").cast("string"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     yes = min(counts.get(1, 0), max(sample // 2, sample - counts.get(0, 0)))
@@ -209,39 +205,76 @@ def train(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> tuple[list
     for toxic, most in ((1, yes), (0, no)):
         part = known.filter(F.col("toxic") == toxic).withColumn("key", key).orderBy("key").limit(most)
         ids = part if ids is None else ids.unionByName(part)
-    picked = docs.join(F.broadcast(ids), "doc_id").select("key", "doc_id", "t", "toxic")
+    picked = docs.join(F.broadcast(ids), "doc_id").groupBy("key", "doc_id", "toxic").agg(F.min("t").alias("t"))
     picked = materialize(picked, "toxic-sample")
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    names = _chosen(picked)
-    df, n = _frequencies(docs.select("t"), names)
-    idf = np.log((1 + n) / (1 + df)) + 1.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(names)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [own.of(t.as_py()) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("toxic"), pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.list_(pa.float64()))], ["key", "doc_id", "toxic", "at", "counts"])
+            found = [terms(t.as_py()) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["key", "doc_id", "toxic", "words", "counts"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    # Bounded: sample rows of at most VOCABULARY numbers each.
-    rows = picked.select("key", "doc_id", "toxic", "t").mapInArrow(run, f"key string, doc_id {kind}, toxic int, at array<bigint>, counts array<double>").toArrow().to_pylist()
-    # Examples with like terms share blocks, which keeps the bounds low.
-    rows.sort(key=lambda r: (r["toxic"], r["at"][:1] or [-1], r["key"]))
-    index = Index([], np.zeros(0), idf, [], prior)
-    vectors = []
-    for r in rows:
-        at, counts_ = np.array(r["at"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)
-        vectors.append((at, index.unit(at, counts_)))
-    index = Index([r["doc_id"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64), idf, vectors, prior)
-    if names and rows:
-        index.calibrate()
-    return names, index
+    rows = picked.select("key", "doc_id", "toxic", "t").mapInArrow(words, f"key string, doc_id {kind}, toxic int, words array<string>, counts array<int>").toArrow()
+    rows = rows.take(pc.sort_indices(rows.column("key")))
+    size = pc.list_value_length(rows.column("words")).to_numpy()
+    ends = np.cumsum(size)
+    said = pc.list_flatten(rows.column("words")).combine_chunks().dictionary_encode()
+    # Terms in the order of their text, so that reruns agree.
+    order = pc.sort_indices(said.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    names = said.dictionary.take(pa.array(order)).to_pylist()
+    term = place[said.indices.to_numpy()] if len(said) else np.zeros(0, dtype=np.int64)
+    times = pc.list_flatten(rows.column("counts")).to_numpy().astype(np.float64)
+    labels = rows.column("toxic").to_numpy().astype(np.int64)
+    shared = spark.sparkContext.broadcast(names)
+    df, n = _frequencies(docs.select("t"), shared)
+    toxic = np.repeat(labels, size) == 1
+    in_all, in_yes = np.bincount(term, minlength=len(names)), np.bincount(term[toxic], minlength=len(names))
+    weight = term_weights(df.astype(np.float64), n, in_yes.astype(np.float64), in_all.astype(np.float64), int(labels.sum()), len(labels))
+    vectors, main = [], []
+    for lo, hi in zip(ends - size, ends, strict=True):
+        at, c = term[lo:hi], times[lo:hi]
+        turn = np.argsort(at)
+        at, c = at[turn], c[turn]
+        vectors.append((at, unit(weight, at, c)))
+        main.append(int(at[np.argmax(c)]) if len(at) else -1)
+    # Examples with the same main word share blocks, which keeps the bounds low.
+    keys, doc_ids = rows.column("key").to_pylist(), rows.column("doc_id").to_pylist()
+    turn = sorted(range(len(keys)), key=lambda i: (main[i], labels[i], keys[i]))
+    index = Index([doc_ids[i] for i in turn], labels[turn], weight, [vectors[i] for i in turn], prior)
+    if names:
+        place_of = {keys[i]: k for k, i in enumerate(turn)}
+        index.calibrate(_votes(picked, shared, index, place_of))
+    return shared, index
+
+
+def _votes(picked: DataFrame, names, index: Index, place_of: dict[str, int]) -> np.ndarray:
+    """What the others vote about each example, in the order of the index; the searches run on the executors."""
+    shared = picked.sparkSession.sparkContext.broadcast((index, place_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (own, place), vocabulary = shared.value, Vocabulary(names.value)
+        for batch in batches:
+            at = [place[k] for k in batch.column("key").to_pylist()]
+            votes = []
+            for i, text in zip(at, batch.column("t"), strict=True):
+                t, c = vocabulary.of(text.as_py())
+                votes.append(own.vote(own.nearest(t, own.unit(t, c), without=i)))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(votes, pa.float64())], ["i", "vote"])
+
+    rows = picked.select("key", "t").repartition(picked.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "i long, vote double").toArrow()
+    votes = np.zeros(len(index.ids))
+    votes[rows.column("i").to_numpy()] = rows.column("vote").to_numpy()
+    shared.unpersist()
+    return votes
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) per row of docs.
 
-    A null text is an empty one. A text without a term of the vocabulary has no neighbours: its score is that of the prior.
+    A null text is an empty one. A text without a word of the examples has no neighbours: its score is that of the prior.
     If nothing can be learnt, the score is the share of toxic labels, 0 without labels. Labels that are null or of rows that
     are held out are never read; an id with several labels has the largest. Repeated rows give repeated results. Other columns
     are not carried along.
@@ -253,21 +286,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     names, index = train(rows, materialize(known, "toxic-labels"), sample)
     index.prior = index.prior if len(index.ids) else 0.0
-    shared = spark.sparkContext.broadcast((names, index))
+    learnt = bool(names.value)
+    shared = spark.sparkContext.broadcast(index)
     here = rows.select("doc_id", "held_out", "t")
     kind = here.schema["doc_id"]
     out = T.StructType([kind, here.schema["held_out"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(kind.dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_names, own = shared.value
-        vocabulary = Vocabulary(own_names)
-        nothing = own.probability(own.vote([])) if own_names else own.prior
+        own, vocabulary = shared.value, Vocabulary(names.value)
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column("t"):
                 at, counts = vocabulary.of(text.as_py())
                 near = own.nearest(at, own.unit(at, counts)) if len(at) else []
-                scores.append(own.probability(own.vote(near)) if near else nothing)
+                scores.append(own.probability(own.vote(near)) if learnt else own.prior)
                 evidence.append([own.ids[i] for _, i in near[:EVIDENCE]])
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(evidence, pa.list_(batch.schema.field("doc_id").type))], out.names)
