@@ -1,7 +1,8 @@
 """Weakly connected components by alternating large-star and small-star rounds.
 
 Each round links nodes to the smallest node they know of; edges never grow in number beyond the input's, and the rounds grow
-with the logarithm of the longest path. Every round is written to the shared folder, so lineage stays short.
+with the logarithm of the longest path. Every round is written to the shared folder, so lineage stays short. A node's edges
+meet its least neighbour in SALTS parts, so the centre of a large star isn't one task's work.
 """
 
 from __future__ import annotations
@@ -11,18 +12,28 @@ from pyspark.sql import functions as F
 
 from lakeloom.runtime import materialize
 
+#: Parts of a node's edges.
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) with m, the least of a's neighbours, from least (a, m)."""
+    left = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    right = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, ["a", "salt"]).drop("salt")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's greater neighbours are linked to the least of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its lesser neighbours are linked to the least of these. Edges go from greater to lesser."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    down = edges.join(least, "a")
+    down = _with_least(edges, least)
     return down.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
 
 
