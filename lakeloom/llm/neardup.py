@@ -1,9 +1,11 @@
-"""Near-dedup by Jaccard similarity of shingles of five words.
-
-Each text gets BANDS keys, each made of the least values of its shingles under ROWS permutations. Texts that share a key are
-candidates; two texts of similarity 0.8 share none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3e-5. Only candidates
-send their shingles, once for each set of texts that share a key, and there all pairs that aren't joined yet are compared
-exactly. Components over all sets come from alternating stars.
+"""One document of each group of near-duplicates: SimHash groups, then Jaccard similarity of shingles of five words.
+
+One pass over the texts gives each its SimHash fingerprint and BANDS keys, each made of the least values of its shingles of
+five words under ROWS permutations. Fingerprints are joined by tries (simhash.py). Of what stays, texts that share a key are
+candidates; two texts of similarity 0.8 share none with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3e-5. Each candidate is
+compared exactly with the least text of every set that shares a key; this joins most sets into one component. The other sets
+are compared in full, in units of at most two blocks, as far as their texts aren't joined. Only candidates send their
+shingles, and only documents that go, with a few others, leave their place (sift.py).
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.llm import simhash
+from lakeloom.llm.sift import marked, row_key
 from lakeloom.operators.components import connected_components
 from lakeloom.runtime import materialize, workers_see_package
 
@@ -23,6 +27,8 @@ from lakeloom.runtime import materialize, workers_see_package
 SHINGLE, SIMILARITY = 5, 0.8
 #: Keys of a text, and permutations in a key.
 BANDS, ROWS = 20, 4
+#: Texts in a block of a set: a unit of work holds at most two blocks.
+BLOCK = 1_000
 #: Shingles whose permutations are in hand at a time.
 PART = 2_048
 
@@ -62,75 +68,157 @@ def keys(grams: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(least).reshape(BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def joined(grams: list[np.ndarray]) -> np.ndarray:
-    """Least index of each text's component: all pairs are compared but those that are joined already or too unlike in size."""
-    label, size = np.arange(len(grams)), np.array([len(g) for g in grams])
-    for i in range(1, len(grams)):
-        rest = np.flatnonzero(np.minimum(size[:i], size[i]) >= SIMILARITY * np.maximum(size[:i], size[i]))
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of SIMILARITY or more."""
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILARITY * (len(a) + len(b) - both)
+
+
+def joined(grams: list[np.ndarray], label: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """Least index of each text's component. Texts of one label are joined already; pairs of one side are left out, if sides are given."""
+    n = len(grams)
+    label = np.arange(n) if label is None else np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
+    size = np.array([len(g) for g in grams])
+    for i in range(1, n):
+        may = np.minimum(size[:i], size[i]) >= SIMILARITY * np.maximum(size[:i], size[i])
+        if side is not None:
+            may &= side[:i] != side[i]
+        rest = np.flatnonzero(may)
         while len(rest := rest[label[rest] != label[i]]):
             j, rest = rest[0], rest[1:]
-            both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
-            if both >= SIMILARITY * (size[i] + size[j] - both):
+            if alike(grams[i], grams[j]):
                 a, b = sorted((label[i], label[j]))
                 label[label == b] = a
     return label
 
 
-def _map_texts(docs: DataFrame, doc_id: str, text: str, make, name: str) -> DataFrame:
-    """(id, name: array of long) per row of docs, make() giving the array of a text."""
-    here = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("t"))
-    out = T.StructType([here.schema["id"], T.StructField(name, T.ArrayType(T.LongType()))])
+def _map_texts(rows: DataFrame, name: str, make) -> DataFrame:
+    """(key, name: array of long) per row of rows (key, t), make() giving the array of a text."""
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField(name, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = [make(t.as_py()).view(np.int64) for t in part.column("t")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int64()))], out.names)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.list_(pa.int64()))], out.names)
 
-    return here.mapInArrow(run, out)
+    return rows.select("key", "t").mapInArrow(run, out)
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(src, dst): links that join all candidates of similarity 0.8 or more into components. Ids must be distinct and not null."""
-    workers_see_package(docs.sparkSession)
-    marks = materialize(_map_texts(docs, doc_id, text, lambda t: keys(shingles(t)), "keys"), "neardup-keys")
-    sets = marks.select("id", F.posexplode("keys").alias("band", "key")).groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    sets = sets.filter(F.size("ids") > 1).select("ids").distinct().withColumn("set", F.monotonically_increasing_id())
-    members = materialize(sets, "neardup-sets").select("set", F.explode("ids").alias("id"))
-    asked = members.select(F.col("id").alias("__id")).distinct()
-    texts = docs.join(asked, docs[doc_id] == asked["__id"], "left_semi")
-    grams = materialize(_map_texts(texts, doc_id, text, shingles, "grams"), "neardup-grams")
-    rows = members.join(grams, "id").select("set", "id", "grams").repartition("set").sortWithinPartitions("set", "id")
-    kind = rows.schema["id"].dataType
-    out = T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
+def _compared(pairs: DataFrame) -> DataFrame:
+    """(src, dst) of the pairs (src, dst, x, y) whose shingles x and y are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held, arrow = None, [], [], None
+        for batch in batches:
+            same = [alike(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(same, pa.bool_()))
+
+    return pairs.mapInArrow(run, "src string, dst string")
+
+
+def links(marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(src, dst): links that join all candidates of similarity SIMILARITY or more into components.
+
+    marks: (key, keys), each key once; texts: (key, t), which may hold more keys and may hold them repeatedly, with one text.
+    """
+    spark = marks.sparkSession
+    workers_see_package(spark)
+    buckets = marks.select("key", F.posexplode("keys").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
+    centres = buckets.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    members = materialize(buckets.join(centres, "bucket").select("bucket", "centre", "key", "n"), "neardup-members")
+    asked = materialize(members.select("key").distinct(), "neardup-asked")
+    likely = marked(texts.select("key", "t"), asked).filter("maybe")
+    grams = _map_texts(likely, "grams", shingles).join(asked, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
+    grams = materialize(grams, "neardup-grams")
+    stars = members.filter("key != centre").select(F.col("centre").alias("src"), F.col("key").alias("dst")).distinct()
+    stars = stars.join(grams.select(F.col("key").alias("dst"), F.col("grams").alias("y")), "dst").join(grams.select(F.col("key").alias("src"), F.col("grams").alias("x")), "src")
+    near = materialize(_compared(stars.select("src", "dst", "x", "y")), "neardup-stars")
+    # Sets of three or more that the stars didn't join; sets alike in all members are one.
+    joined_ = connected_components(near).select(F.col("id").alias("key"), "component")
+    members = members.filter("n > 2").join(joined_, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    members = materialize(members, "neardup-components")
+    open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("n"), F.bit_xor(F.xxhash64("key")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("r"))
+    open_ = open_.filter("lo != hi").groupBy("n", "s", "r").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    units = members.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "component")
+    units = units.join(grams, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
 
         def found() -> pa.RecordBatch:
-            label = joined(held)
-            far = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in far], arrow), pa.array([ids[i] for i in label[far]], arrow)], out.names)
+            label = np.array([r[1] for r in rows])
+            side = np.array([r[2] for r in rows]) if now[1] != now[2] else None
+            least = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
+            new = joined([r[3] for r in rows], label, side)
+            far = np.flatnonzero(new != least)
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in far], pa.string()), pa.array([rows[i][0] for i in new[far]], pa.string())], ["src", "dst"])
 
         for batch in batches:
-            arrow = batch.schema.field("id").type
-            for key, one, grams in zip(batch.column("set").to_pylist(), batch.column("id").to_pylist(), batch.column("grams"), strict=True):
+            unit = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")), strict=True)
+            for key, one, label, block, own in zip(unit, batch.column("key").to_pylist(), batch.column("component").to_pylist(), batch.column("block").to_pylist(), batch.column("grams"), strict=True):
                 if key != now:
-                    if len(ids) > 1:
+                    if len(rows) > 1:
                         yield found()
-                    now, ids, held = key, [], []
-                ids.append(one)
-                held.append(grams.values.to_numpy().copy())
-        if len(ids) > 1:
+                    now, rows = key, []
+                rows.append((one, label, block, own.values.to_numpy().copy()))
+        if len(rows) > 1:
             yield found()
 
-    return rows.mapInArrow(run, out)
+    return near.union(units.mapInArrow(run, "src string, dst string"))
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """(key, id, fp, keys) per row of rows (key, id, t): SimHash fingerprint and the keys of five-word shingles, in one pass over the texts."""
+    out = T.StructType([rows.schema["key"], rows.schema["id"], T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, found = [], []
+            for t in batch.column("t"):
+                text = t.as_py()
+                fps.append(simhash.fingerprint(text))
+                found.append(keys(shingles(text)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(fps, pa.int64()), pa.array(found, pa.list_(pa.int64()))], out.names)
+
+    return rows.select("key", "id", "t").mapInArrow(run, out)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: the one with the smallest id. Ids must be distinct; rows without an id all stay."""
-    known = docs.filter(docs[doc_id].isNotNull())
-    groups = connected_components(links(known, doc_id, text))
-    gone = groups.filter(F.col("id") != F.col("component")).select(F.col("id").alias("__id"))
-    return docs.join(gone, docs[doc_id] == gone["__id"], "left_anti")
+    """docs with one document of each group: the one with the smallest id, a null id last.
+
+    A group is what links of fingerprints join, and then, of one document of each of these groups, what similarity of
+    five-word shingles joins. A document is an id and a text, so different texts that share an id are different documents;
+    rows alike in both are one document, and the row that is least as JSON stays. Null and empty texts are alike. Columns of
+    docs, whatever their names, are carried along.
+    """
+    workers_see_package(docs.sparkSession)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("id"), docs[text].cast("string").alias("t"))
+    rows = rows.withColumn("key", row_key(F.col("id"), F.col("t")))
+    marks = materialize(_marks(rows), "neardup-marks")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    first = materialize(marks.groupBy("fp").agg(F.min(order).alias("first")), "neardup-fps")
+    left = simhash.groups(first).groupBy("component").agg(F.min("first").alias("first")).select("first.key", "first.id")
+    left = materialize(left, "neardup-first")
+    alone = marks.join(left.select("key"), "key", "left_semi").groupBy("key").agg(F.first("keys").alias("keys"))
+    near = connected_components(links(materialize(alone, "neardup-keys"), rows)).withColumnRenamed("id", "key")
+    near = near.join(left, "key").withColumn("order", order)
+    stay = near.groupBy("component").agg(F.min("order").alias("first")).select("first.key")
+    gone = near.select("key").join(stay, "key", "left_anti").union(marks.select("key").distinct().join(left.select("key"), "key", "left_anti"))
+    gone = materialize(gone, "neardup-gone")
+    again = marks.groupBy("key").count().filter("count > 1").select("key")
+    found = marked(rows.select("row", "key"), materialize(gone.union(again), "neardup-doubtful"))
+    doubtful = found.filter("maybe").join(gone, "key", "left_anti").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return found.filter("not maybe").select("row.*").unionByName(doubtful.select("row.*"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(src, dst) links of five-word similarity alone, by document id. Ids must be distinct and not null."""
+    rows = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("t")).withColumn("key", row_key(F.col("id"), F.col("t")))
+    marks = materialize(_marks(rows), "neardup-marks")
+    found = links(marks.select("key", "keys"), rows)
+    id_of = lambda c: marks.select(F.col("key").alias(c), F.col("id").alias(f"{c}_id"))
+    return found.join(id_of("src"), "src").join(id_of("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))

@@ -186,22 +186,51 @@ def links(fps: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame:
     out = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for x in batches if x.num_rows]
-        if not held:
-            return
-        column = lambda name: np.concatenate([x.column(name).to_numpy(zero_copy_only=False) for x in held])
-        t = column("t")
-        keys, a, b = (column(c).astype(np.int64).view(np.uint64) for c in ("key", "a", "b"))
-        d = column("d")
-        del held
-        for table in np.unique(t):
-            here = t == table
-            n = np.uint64(int(table) * BLOCK_BITS)
-            for pair in trie_links(keys[here], t[here], a[here], b[here], d[here], budget):
-                back = [((x >> n) | (x << (np.uint64(64) - n)) if n else x).view(np.int64) for x in pair]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in back], out.names)
-
-    return rows.select("t", "key", "d", "a", "b").repartition("t", "a", "b").mapInArrow(run, out)
+        for t, keys, a, b, d in _whole_units(batches, unit):
+            for table in np.unique(t):
+                here = t == table
+                n = np.uint64(int(table) * BLOCK_BITS)
+                for pair in trie_links(keys[here], t[here], a[here], b[here], d[here], budget):
+                    back = [((x >> n) | (x << (np.uint64(64) - n)) if n else x).view(np.int64) for x in pair]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in back], out.names)
+
+    units = rows.select("t", "key", "d", "a", "b").repartition("t", "a", "b").sortWithinPartitions("t", "d", "a", "b")
+    return units.mapInArrow(run, out)
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(t, key, a, b, d) of sorted rows, in parts of whole units. A part ends with the unit in which it reaches most rows, so it holds less than most rows and one unit."""
+
+    def columns(held: list[pa.RecordBatch]) -> list[np.ndarray]:
+        found = [np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("t", "key", "a", "b", "d")]
+        return [found[0], *(x.astype(np.int64).view(np.uint64) for x in found[1:4]), found[4]]
+
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < most:
+            continue
+        now = columns(held)
+        last = np.ones(n, dtype=bool)
+        for x in (now[0], now[2], now[3], now[4]):
+            last &= x == x[-1]
+        cut = int(np.argmax(last))  # sorted: the last unit begins here
+        if cut:
+            yield tuple(x[:cut] for x in now)
+            names = ("t", "key", "d", "a", "b")
+            rest = [now[0][cut:], now[1][cut:].view(np.int64), now[4][cut:], now[2][cut:].view(np.int64), now[3][cut:].view(np.int64)]
+            held, n = [pa.RecordBatch.from_arrays([pa.array(x) for x in rest], names)], n - cut
+    if held:
+        yield tuple(columns(held))
+
+
+def groups(first: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """first (fp, first) plus component: the same for fingerprints that links join. first holds each fp once."""
+    joined = connected_components(links(first.select("fp"), budget))
+    return first.join(joined.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -213,22 +242,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = materialize(fingerprints(docs, doc_id, text, shingle), "simhash-fps")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     first = materialize(first, "simhash-distinct")
-    joined = connected_components(links(first.select("fp"), budget))
-    of = first.join(joined.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    of = materialize(of, "simhash-components")
+    of = materialize(groups(first, budget), "simhash-components")
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
     of = of.join(least, "component").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """docs with one document of each group: the one with the smallest id. Rows without an id all stay; of rows that share an id one stays."""
-    found = near_duplicates(docs, doc_id, text, shingle, budget).filter(F.col("doc_id") == F.col("component_id"))
-    stay = found.select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(stay, docs[doc_id] == stay["__id"], "left_semi").dropDuplicates([doc_id])
-    return rows.unionByName(docs.filter(docs[doc_id].isNull()))
-
-
 def op10(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
