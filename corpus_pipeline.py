@@ -1,37 +1,41 @@
-"""From raw documents to token ids: quality rules, line dedup, near-dedup, mixing, encoding."""
+"""From raw documents to token ids: quality rules, line dedup, near-dedup, mixing, encoding.
+
+In every stage a null text is an empty one, repeated rows are rows of their own unless near-dedup takes them for one document,
+an empty table stays one, texts of any length are used whole, and extra columns are carried along up to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, linededup, mixing, neardup, quality, simhash
+from lakeloom.llm import bpe, linededup, mixing, neardup, quality
 from lakeloom.runtime import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules."""
+    """Documents that pass the rules. Null and empty texts have too few words to pass."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are boilerplate of their source; n_chars follows the text."""
+    """All documents, without the lines that are boilerplate of their source, a null source being one; n_chars follows the text."""
     clean = linededup.without_boilerplate(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link, and of those one of each group whose shingles of five words are alike."""
-    return neardup.one_of_each(materialize(simhash.one_of_each(docs), "simhash-kept"))
+    """One document of each group whose fingerprints link, and of those one of each group whose shingles of five words are alike; the smallest id stays."""
+    return neardup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; rows alike in id, source and text are drawn one by one."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_tokens."""
+    """doc_id, source, ids, n_tokens; a null text has no ids."""
     import public_tokenizers
 
     found = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
