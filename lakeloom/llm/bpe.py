@@ -3,8 +3,9 @@
 A text is cut by a pattern; each match is encoded separately. The library is given the same vocabulary in its own terms:
 every byte has a character, a token is a string of those, and each way to put a token together from two others is a merge,
 in the order of ranks. Natural text repeats its words, so each distinct chunk (a word with the space before it) is encoded once
-and remembered by the worker, within a bound. Decoding turns ids into the bytes of the byte table; a character whose bytes lie in several tokens comes
-out whole, as the bytes are joined before they are read as UTF-8.
+and remembered by the worker, within a bound. Decoding turns ids into the characters of their tokens, and these back into bytes
+by the reversed byte table; a character whose bytes lie in several tokens comes out whole, as the bytes are joined before they
+are read as UTF-8. Texts with characters that tiktoken's splitter classes by an older Unicode version are encoded by tiktoken.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lakeloom.llm.text import AGREED
 from lakeloom.runtime import workers_see_package
 
 #: A worker remembers at most so many distinct chunks, and so many characters of them.
@@ -149,16 +151,20 @@ class Codec(Matches):
         from tokenizers import models
 
         ranks = read_ranks(data)
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.decimal = {rank: str(rank) for rank in self.bytes_of}
+        self.ranks, self.decimal = ranks, {rank: str(rank) for rank in ranks.values()}
         chars = byte_characters()
+        byte_of = {c: b for b, c in enumerate(chars)}
         said = {token: "".join(chars[b] for b in token) for token in ranks}
+        #: The byte table reversed: an id's token is characters, each of them one byte.
+        self.bytes_of = {rank: bytes(byte_of[c] for c in said[token]) for token, rank in ranks.items()}
         merges = [(said[token[:i]], said[token[i:]]) for token in sorted(ranks, key=ranks.get) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
         # A match that is a token as a whole is that token, whatever its merges.
         model = models.BPE(vocab={said[token]: rank for token, rank in ranks.items()}, merges=merges, ignore_merges=True)
         super().__init__(model, ranks[NUL.encode()], pattern)
         self.matches = Generations()
-        self.chunks = Chunks(self._encode)
+        #: Chunks are remembered only for the pattern that is known to allow it.
+        self.chunks = Chunks(self._encode) if pattern == _pattern() else None
+        self.tiktoken = None
 
     def _encode(self, chunks: list[str]) -> list[tuple[int, ...]]:
         """The ids of each chunk: its matches are encoded by the library, each distinct one once."""
@@ -170,7 +176,16 @@ class Codec(Matches):
         return [ids[row[0]] if len(row) == 1 else tuple(i for m in row for i in ids[m]) for row in rows]
 
     def ids(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.chunks.values(text)))
+        if not AGREED.fullmatch(text):
+            return self._tiktoken().encode_ordinary(text)
+        return list(chain.from_iterable(self.chunks.values(text) if self.chunks else self._encode([text])))
+
+    def _tiktoken(self):
+        if self.tiktoken is None:
+            import tiktoken
+
+            self.tiktoken = tiktoken.Encoding("own", pat_str=self.pattern.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        return self.tiktoken
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """For each id, the characters [start, end) that hold at least one of its bytes. Tokens may share a character."""
@@ -226,14 +241,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", pattern: str | None =
     if with_offsets:
         added += [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("starts", "ends")]
     names = {f.name for f in added}
-    here = docs.withColumn("__text", docs[text].cast("string")).drop(*names)
-    fields = [f for f in here.schema.fields if f.name != "__text"]
+    own_text = next(n for n in ("text_" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    here = docs.withColumn(own_text, docs[text].cast("string")).drop(*names)
+    fields = [f for f in here.schema.fields if f.name != own_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for whole in batches:
-            for batch in _slices(whole, "__text"):
-                texts = [t or "" for t in batch.column("__text").to_pylist()]
+            for batch in _slices(whole, own_text):
+                texts = [t or "" for t in batch.column(own_text).to_pylist()]
                 ids = [own.ids(t) for t in texts]
                 columns = [batch.column(f.name) for f in fields] + [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())]
                 if with_offsets:
@@ -278,7 +294,9 @@ def _slices(batch: pa.RecordBatch, text: str, chars: int = 4_000_000) -> Iterato
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", pattern: str | None = None) -> DataFrame:
     """Encodes each text, decodes the ids, and returns doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip.
 
-    The ids of one text are in memory at a time and don't leave the worker.
+    The ids of one text are in memory at a time and don't leave the worker. A null text is an empty one: no ids, and the digest
+    of nothing. Texts of any length are used whole; repeated rows give repeated results, an empty table an empty one. Other
+    columns aren't carried along, so their names don't matter.
     """
     spark, pattern = docs.sparkSession, pattern or _pattern()
     workers_see_package(spark)

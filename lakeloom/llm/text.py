@@ -12,6 +12,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 
+#: Outside these ranges lie characters that the tokenizer libraries' own splitters and the regex module class by different
+#: versions of Unicode. Texts that hold one go to the library whole.
+AGREED = re.compile("[\u0000-՗֐-ࢎऀ-౛฀-₎₠-ꟍ가-퟿-￿\U0001f000-\U0001faff\U00020000-\U0002b739]*")
+
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""

@@ -18,15 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.llm.bpe import Chunks, Matches, _pattern, _vocabulary, byte_characters
+from lakeloom.llm.text import AGREED
 from lakeloom.runtime import workers_see_package
 
 #: A text is over the limit from one token more on.
 LIMIT = 1024
 
-#: Outside these ranges lie characters that the library's own splitter and the regex module class by different versions of Unicode. Texts that hold one go to the library whole.
-AGREED = re.compile("[\u0000-՗֐-ࢎऀ-౛฀-₎₠-ꟍ가-퟿-￿\U0001f000-\U0001faff\U00020000-\U0002b739]*")
-
-
 class Counter(Matches):
     """Counts tokens as the library does by a vocabulary in its JSON form."""
 
