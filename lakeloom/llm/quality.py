@@ -81,7 +81,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "l", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     )
     cases = sorted({f for w in STOP_WORDS for f in (w, w.capitalize(), w.upper())})
-    # A window starts at each of the first n - 7 words. Equal windows have equal hashes, so distinct hashes settle most texts.
+    # A window starts at each of the first n - 7 words.
     starts = F.when(F.size("w") >= WINDOW, F.sequence(F.lit(1), F.size("w") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
     df = df.select(
         "row",
@@ -95,10 +95,12 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
     )
-    df = df.withColumn("h", F.transform("i", lambda i: F.xxhash64(F.slice("w", i, WINDOW))))
-    # The rest is exact: windows are sorted as text, and neighbours compared.
-    ordered = F.sort_array(F.transform("i", lambda i: F.struct(_joined(i).alias("g"), i.alias("at"))))
-    df = df.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), ordered))
+    # Windows that repeat have a neighbour of the same hash in the order of hashes; only these are looked at as text.
+    df = df.withColumn("h", F.sort_array(F.transform("i", lambda i: F.struct(F.xxhash64(F.slice("w", i, WINDOW)).alias("h"), i.alias("at")))))
+    twins = F.zip_with("h", F.slice("h", 2, F.greatest(F.size("h"), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])))
+    df = df.withColumn("c", F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+    # The rest is exact: these windows are sorted as text, and neighbours compared.
+    df = df.withColumn("s", F.sort_array(F.transform("c", lambda i: F.struct(_joined(i).alias("g"), i.alias("at")))))
     same = F.zip_with("s", F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), lambda a, b: F.when(a["g"] == b["g"], F.array(a["at"], b["at"])))
     df = df.withColumn("f", F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))))
     return df.withColumn("n_repeat_words", _repeat_words().cast("long")).select("row", *COUNTS)
