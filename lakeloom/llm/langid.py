@@ -19,14 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.runtime import workers_see_package
+from lakeloom.llm.sift import row_key
+from lakeloom.runtime import materialize, workers_see_package
 
 BITS, LONGEST = 15, 3
 FEATURES = 1 << BITS
 #: Odd multipliers, one per place in an n-gram and one per length.
 MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
-#: The classifier is fitted on at most so many documents, shared equally by the languages.
+#: The classifier is fitted on at most so many documents, shared equally by the languages, five of each at least.
 SAMPLE = 2_400
+#: More languages than this are an error: the model has a weight for each feature and language.
+LANGUAGES = 1_000
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 4, 0.5, 1.0, 0.02, 0.001, 50.0
 #: Characters in hand at a time.
 PART = 1 << 20
@@ -135,21 +138,30 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str]
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """rows: key (text whose MD5 sum is the order of the sample), t, lang, all of them to learn from."""
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """rows: key (the same for copies; its order is that of the sample), t, lang, all of them to learn from.
+
+    Copies are one document of the sample, however many there are, so they can't crowd out others of their language.
+    """
+    keys = materialize(rows.select("lang", "key").distinct(), "lang-keys")
+    found = keys.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = {r.lang: r["count"] for r in found}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((FEATURES, 0), dtype=np.float32), np.zeros(0), 1.0)
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    # A language's first documents by u, a number in [0, 1) from the key. Only those below a bound that about four times as
-    # many as wanted are below move at all.
+    # A language's least keys. Keys are MD5 sums, so the first digits are a number in [0, 1), and only about four times as many
+    # keys as wanted are below the bound and move.
     most = max(5, sample // len(languages))
-    u = F.conv(F.substring(F.md5("key"), 1, 13), 16, 10).cast("double") / 2**52
-    bounds = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * most / n))])
-    order = Window.partitionBy("lang").orderBy("u", "key")
-    near = rows.select("key", "lang", "t", u.alias("u")).filter(F.col("u") <= F.element_at(bounds, F.col("lang")))
-    picked = near.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= most).drop("u")
+    u = F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / 2**52
+    bounds = keys.sparkSession.createDataFrame([(k, min(1.0, 4 * most / n + 32 / n)) for k, n in counts.items()], "lang string, bound double")
+    near = keys.withColumn("u", u).join(F.broadcast(bounds), "lang").filter(F.col("u") <= F.col("bound"))
+    order = Window.partitionBy("lang").orderBy("key")
+    picked = near.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= most).select("lang", "key")
+    picked = materialize(picked, "lang-picked")  # at most sample rows, or five a language
+    picked = rows.join(F.broadcast(picked), ["lang", "key"]).groupBy("lang", "key").agg(F.first("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +172,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))], ["key", "lang", "f", "v"])
 
     # Bounded: sample rows of at most FEATURES numbers each.
-    sparse = picked.drop("i").mapInArrow(run, "key string, lang string, f array<int>, v array<float>").toArrow().to_pylist()
+    sparse = picked.select("key", "lang", "t").mapInArrow(run, "key string, lang string, f array<int>, v array<float>").toArrow().to_pylist()
     sparse.sort(key=lambda r: (r["key"], r["lang"]))
     number = {x: i for i, x in enumerate(languages)}
     return fit([(np.array(r["f"], dtype=np.int64), np.array(r["v"], dtype=np.float64), number[r["lang"]]) for r in sparse], languages, idf)
@@ -176,7 +188,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     spark = docs.sparkSession
     workers_see_package(spark)
     rows = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("lang"), held_out(docs[doc_id], parts, part).alias("held_out"))
-    key = F.col("doc_id").cast("string")
+    key = row_key(F.col("doc_id"), F.col("t"))
     learn = rows.filter(~F.col("held_out") & F.col("lang").isNotNull() & (F.coalesce(F.length("t"), F.lit(0)) > 0)).select(key.alias("key"), "t", "lang")
     shared = spark.sparkContext.broadcast(train(learn, sample))
     here = rows.select("doc_id", "held_out", "t")
