@@ -22,4 +22,5 @@ ORACLES = {
     "op3_line_dedup": linededup.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_quality_rules": quality.OP7_SQL,
+    "op9_chat_formatting": chat.OP9_SQL,
 }
