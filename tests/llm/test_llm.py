@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from lakeloom.llm import bpe, chat, langid, linededup, mixing, quality, simhash, tokencount, topk, toxicity  # noqa: E402
+from lakeloom.llm import bpe, chat, langid, linededup, mixing, neardup, quality, sift, simhash, tokencount, topk, toxicity  # noqa: E402
 from lakeloom.llm import queries as llm_queries  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -27,7 +27,7 @@ def docs(spark, texts, sources=None, first=0):
 
 def clashing(df):
     """df with columns that are named like operators' results."""
-    for c in ("ids", "n_tokens", "n_words", "kept", "w", "t", "row", "fp", "component", "size", "target", "u", "host", "lines", "score"):
+    for c in ("ids", "n_tokens", "n_words", "kept", "w", "t", "row", "fp", "component", "size", "target", "u", "host", "lines", "score", "text_", "__text", "key", "number", "maybe", "place_", "rank", "f", "content", "id", "copies"):
         df = df.withColumn(c, df["n_chars"])
     return df
 
@@ -116,6 +116,49 @@ def test_op1_operator(spark, tiktoken_own):
     assert bpe.encode(df.limit(0), path).count() == 0
 
 
+#: Characters that Unicode versions class differently, beside ones whose bytes merge with theirs.
+DIFFERENT = ["\uab6c\ub13b", "\U00018fa4\uac00", "\U00019034\uac00", "a\u0558b", "\U00033000 x", "\u209d\u209e", "\ua7ce\uac00\uab6d"]
+
+
+def test_ids_where_unicode_versions_differ(codec, tiktoken_own):
+    draw = random.Random(12)
+    odd = "".join(DIFFERENT) + "".join(chr(draw.randrange(0x20000, 0x110000)) for _ in range(200)) + " ab1.\uac00\ub13b"
+    for t in [*DIFFERENT, *("".join(draw.choice(odd) for _ in range(draw.randint(1, 20))) for _ in range(4000))]:
+        assert codec.ids(t) == tiktoken_own.encode_ordinary(t), t
+        assert codec.decode(codec.ids(t)) == t
+
+
+def test_other_patterns(ranks):
+    """A pattern whose matches hold white space inside can't be cut into chunks."""
+    import tiktoken
+
+    pattern = r"\w+\s\w+|\s+|\w+|[^\w\s]+"
+    other, own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={}), bpe.Codec(ranks, pattern)
+    for t in ("the cat sat on the mat", "a b c d e", "of the, and a. "):
+        assert own.ids(t) == other.encode_ordinary(t)
+
+
+def test_op1_query(spark, sf_dir, tiktoken_own):
+    table = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in llm_queries.QUERIES["op1_bpe"](spark, sf_dir).collect():
+        ids = tiktoken_own.encode_ordinary(table[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(table.pop(r.doc_id).encode()).hexdigest()
+    assert not table
+
+
+def test_op4_query(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    table = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in llm_queries.QUERIES["op4_token_counts"](spark, sf_dir).collect():
+        text = table.pop(r.doc_id)
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 1024)
+    assert not table
+
+
 def test_op4(spark):
     from tokenizers import Tokenizer
 
@@ -137,11 +180,21 @@ def test_op4(spark):
 # --- op3 ------------------------------------------------------------------------------------------------------------
 
 
+BLANKS = " \t\n\v\f\r"
+
+
+def brute_source_lines(rows):
+    """(source, lines) to the lines that stay, copies of a document counted once."""
+    different = list({(h, tuple(lines)): None for h, lines in rows})
+    kept = dict(zip(different, brute_lines([(h, list(x)) for h, x in different], linededup.SOURCE_RATIO, linededup.SOURCE_FEWEST), strict=True))
+    return [kept[h, tuple(lines)] for h, lines in rows]
+
+
 def brute_lines(rows, ratio, fewest):
     pages, n = Counter(h for h, _ in rows), Counter()
     for h, lines in rows:
-        n.update((h, x) for x in {x.strip(" ") for x in lines} - {""})
-    return [[x for x in lines if not (n[h, x.strip(" ")] > pages[h] * ratio and n[h, x.strip(" ")] >= fewest)] for h, lines in rows]
+        n.update((h, x) for x in {x.strip(BLANKS) for x in lines} - {""})
+    return [[x for x in lines if not (n[h, x.strip(BLANKS)] > pages[h] * ratio and n[h, x.strip(BLANKS)] >= fewest)] for h, lines in rows]
 
 
 def test_line_dedup(spark):
@@ -157,11 +210,15 @@ def test_line_dedup(spark):
     texts += [None, "", texts[0], texts[0]]
     sources += ["hot"] * 4
     df = clashing(docs(spark, texts, sources))
-    want = brute_lines([(s or "", (t or "").split("\n")) for s, t in zip(sources, texts, strict=True)], 0.2, 5)
-    got = {r.row.doc_id: r for r in linededup.line_dedup(df, df["source"], linededup.text_lines(df["text"])).collect()}
-    assert len(got) == len(texts)
-    for i, lines in enumerate(want):
-        assert got[i].lines == lines, i
+    rows_ = [(s or "", (t or "").split("\n")) for s, t in zip(sources, texts, strict=True)]
+    for fewest in (2, 5):
+        got = {r.row.doc_id: r for r in linededup.line_dedup(df, df["source"], linededup.text_lines(df["text"]), fewest=fewest).collect()}
+        assert len(got) == len(texts)
+        for i, lines in enumerate(brute_lines(rows_, 0.2, fewest)):
+            assert got[i].lines == lines, i
+    got = {r.doc_id: r.text for r in linededup.without_boilerplate(df).collect()}
+    for i, lines in enumerate(brute_source_lines(rows_)):
+        assert (got[i] or "") == "\n".join(lines), i
     kept = {r.doc_id: r for r in linededup.without_boilerplate(df).collect()}
     assert kept[120].text is None and set(kept[0].asDict()) == set(df.columns)
     assert linededup.without_boilerplate(df.limit(0)).count() == 0
@@ -173,6 +230,22 @@ def test_copies_are_not_emptied(spark):
     assert all(r.text == body for r in found)
 
 
+def test_odd_pages(spark):
+    """Tabs, carriage returns, open tags, user names in URLs, sites of few pages and of one."""
+    page = "<p>\t<a>menu</a>\r\n</p> <div>\t</div><b>own {0}</b><script>x<"
+    rows = [(i, f"http://u{i}:pw@Site.org:80/{i}", page.format(i)) for i in range(4)]
+    rows += [(4, "http://one.org/", page.format(4)), (5, None, None), (6, "http://u@site.org", "<broken menu"), (7, "no url", "menu\nmenu")]
+    rows += [(8, "http://same.org/a", "x\ny"), (9, "http://same.org/b", "x\n z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = linededup.line_dedup(pages, linededup.host_of(pages["url"]), linededup.html_lines(pages["html"]))
+    got = {r.row.page_id: (r.host, r.lines, r.n_dropped) for r in found.collect()}
+    for i in range(4):
+        assert got[i] == ("site.org", [f"own {i}", "x<"][:1] + ([] if got[i][2] == 2 else ["x<"]), got[i][2]) and "menu" not in got[i][1]
+    assert got[4] == ("one.org", ["menu", "own 4", "x<"][: len(got[4][1])], 0) and got[5] == ("", [], 0)
+    assert got[6][0] == "site.org" and got[7] == ("", ["menu", "menu"], 0)
+    assert got[8] == ("same.org", ["y"], 1) and got[9] == ("same.org", ["z"], 1)
+
+
 # --- op5 ------------------------------------------------------------------------------------------------------------
 
 
@@ -219,10 +292,50 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(docs(spark, [None, "", " "])).collect()] == [0, 0, 0]
     twice = docs(spark, ["a b c"] * 2).union(docs(spark, ["a b c"] * 2))
-    assert mixing.mix(twice).count() == 4
+    assert mixing.mix(twice).count() == 4 and mixing.mixed(twice).count() == 4
+    assert mixing.mixed(docs(spark, [])).count() == 0
     assert {r.taken for r in mixing.mix(docs(spark, ["a b c"])).collect()} == {3}
 
 
+@pytest.mark.parametrize("kind", ["one id", "no id", "few ids", "one row"])
+def test_repeated_rows_are_drawn_one_by_one(spark, kind):
+    """1,000 rows of ten words in one source and 1,000 in another: each source's taken words are within a row of its target."""
+    ids = {"one id": lambda i: 5, "no id": lambda i: None, "few ids": lambda i: i % 20, "one row": lambda i: 5}[kind]
+    texts = [f"w{0 if kind == 'one row' else i} " + "x " * 9 for i in range(1000)]
+    rows = [(ids(i), texts[i], "en", s, i) for s in ("a", "b") for i in range(1000)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("copies")).collect()
+    assert len(found) == 2 and all(abs(r.taken - r.target) <= 10 and r.copies <= 3 for r in found), found
+    out = {r.source: r["count"] for r in mixing.mixed(df).groupBy("source").count().collect()}
+    assert all(10 * out[r.source] == r.taken for r in found)
+
+
+def test_long_documents_at_the_cut(spark):
+    """A document that is larger than what a source lacks is passed over, and the ranks go on."""
+    draw = random.Random(6)
+    texts = [" ".join(["w"] * draw.randint(5, 60)) for _ in range(600)] + [" ".join(["w"] * n) for n in (900, 900, 1_500)]
+    sources = ["a", "b", "c"] * 200 + ["a", "b", "c"]
+    found = mixing.mix(docs(spark, texts, sources)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 30 for r in found), found
+
+
+def test_inclusion_probabilities(spark):
+    """Over many seeds (ids), documents of different sizes are taken as often as their inclusion probabilities say."""
+    sizes = [1, 2, 5, 20] * 500
+    rows = [(10_000 * seed + i, " ".join(["w"] * n), "en", f"{seed:03}", 0) for seed in range(12) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, DOCS)
+    plan = mixing.mix(df, weights=(3, 7)).collect()  # targets of 0.6 and 1.4 times the size
+    taken, usual = Counter(), -(-sum(sizes) // len(sizes))
+    spread = sum(min(n, usual) for n in sizes) / sum(sizes)
+    for r in plan:
+        taken[round(r.target / r.source_size, 3), r.size] += r.copies
+    assert len({k for k, _ in taken}) == 2
+    for (ratio, n), copies in taken.items():
+        f = ratio % 1
+        want = int(ratio) + f + f * (1 - f) * (min(n, usual) / n - spread)
+        assert abs(copies / (6 * 500) - want) < 0.04, (ratio, n, copies / 3000, want)
+
+
 def test_inclusion_follows_the_ratio(spark):
     """Over many documents of one size, the share taken is the target's share, whatever the order of ids."""
     df = docs(spark, ["x y"] * 600, ["a"] * 300 + ["b"] * 300)
@@ -302,18 +415,54 @@ def test_bounds_hold():
     part = draw.integers(-50, 60, (200, 9))
     lists = topk.Lists(part)
     query = draw.integers(-40, 40, 9).astype(float)
-    score = part @ query
-    for depth in (1, 20, 100, 199, 200):
-        lower, upper, unread = lists.bounds(query, depth)
-        assert (lower <= score + 1e-9).all() and (upper >= score - 1e-9).all()
+    query[0] = 0.0
+    score = (part @ query)[:, None]
+    up, down = np.maximum(query, 0)[:, None], np.minimum(query, 0)[:, None]
+    for depth in (2, 20, 100, 199, 200):
+        seen = lists.read(0, depth // 2, up, down) + lists.read(depth // 2, depth, up, down)
+        lower, upper = (seen + lists.unread(depth, up, down, best) for best in (False, True))
+        assert (lower <= score).all() and (upper >= score).all()
+        came = ((lists.place >= len(part) - depth) & (query > 0) | (lists.place < depth) & (query < 0)).any(axis=1)
+        assert (lists.front(depth, up, down) >= score[~came].max(initial=-1e9)).all()
     assert (lower == score).all() and (upper == score).all()
 
 
+def test_top_k_of_large_values(spark):
+    """Components up to 2 ** 29 of both signs, whose products floats can't hold, and scores that a long can't hold."""
+    draw = np.random.default_rng(8)
+    v = draw.integers(-(2**29), 2**29, size=(200, 5))
+    df = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(v)], "vec_id long, v array<long>")
+    want = {i: [int(x) for x in r] for i, r in enumerate(v)}
+    assert {tuple(r) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), block=64).collect()} == brute_top(want)
+    assert topk.scores(np.array([[2**40, 3]]), np.array([2**20, 1])) == [2**60 + 3]
+    with pytest.raises(OverflowError):
+        topk.scores(np.array([[2**40]]), np.array([2**40]))
+
+
 # --- op9 ------------------------------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"
 
 
+def test_op9_query(spark, sf_dir, tmp_path):
+    """Every row against plain code, with conversation -7 among them, also where the table has turns of it, nulls and ties."""
+    more = spark.createDataFrame([(-7, 5, "user", "x <s>"), (3_000_000, None, None, None), (3_000_000, 1, "tool", "[ROLE]"), (3_000_000, 1, "assistant", ""), (3_000_000, 1, "assistant", "")], TURNS)
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(more)
+    table.write.parquet(f"file://{tmp_path}/conversations.parquet")
+    rows = {}
+    for r in [*table.collect(), (-7, 0, "user", chat.HOSTILE), (-7, 1, "assistant", chat.HOSTILE)]:
+        rows.setdefault(r[0], []).append((r[1] is not None, r[1], r[2] or "", r[3] or ""))
+    got = {r.conv_id: r for r in chat.op9(spark, f"file://{tmp_path}").collect()}
+    assert got.keys() == rows.keys()
+    for k, turns in rows.items():
+        turns = [(role, text) for _, _, role, text in sorted(turns)]
+        learnt = "".join(text for role, text in turns if role == "assistant")
+        r = got[k]
+        assert (r.n_turns, r.loss_chars, r.formatted_chars) == (len(turns), len(learnt), len(chat.BracketTemplate()(turns)))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
+
+
 def test_escapes_reverse():
     t, draw = chat.BracketTemplate(), random.Random(7)
     parts = ["<", "s>", ">", "/", "[", "INST]", "\\", "[INST]", "<<SYS>>", "<</SYS>>", "</s>", "a", "\n", "ROLE]", "TEXT]"]
@@ -422,14 +571,72 @@ def test_simhash(spark):
     for i, t in enumerate(texts):
         assert got[i + 5].fp & (2**64 - 1) == prints[i], t
         assert got[i + 5].component_id == 5 + groups[i]
-    kept = simhash.one_of_each(df)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({5 + g for g in groups})
+    kept = neardup.one_of_each(df)
+    assert {r.doc_id for r in kept.collect()} <= {5 + g for g in groups}
     assert kept.columns == df.columns
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     lost = spark.createDataFrame([(None, "q w e", "en", "s", 1), (None, "q w e", "en", "s", 1), (3, "q w e", "en", "s", 1), (3, "q w e", "en", "s", 1), (None, "zz", "en", "s", 1)], DOCS)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(lost).collect()) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "3"), ("None", "None")]
 
 
+def test_op10_query(spark, sf_dir):
+    table = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    prints = [brute_fingerprint(t) for _, t in table]
+    want = {(i, f"{p:016x}", table[g][0]) for (i, _), p, g in zip(table, prints, brute_groups(prints), strict=True)}
+    assert {tuple(r) for r in llm_queries.QUERIES["op10_simhash"](spark, sf_dir).select("doc_id", "fingerprint", "component_id").collect()} == want
+
+
+def test_one_of_each_of_odd_rows(spark):
+    """Different texts that share an id, or have none, are different documents; rows alike in id and text are one."""
+    long = [" ".join(f"{a}{i}" for i in range(60)) for a in "abcdef"]
+    rows = [(1, long[0], "en", "s", 1), (1, long[1], "en", "s", 1), (None, long[2], "en", "s", 1), (None, long[3], "en", "s", 1), (None, long[3], "en", "s", 2)]
+    rows += [(9, long[4], "en", "s", 1), (8, long[4], "en", "s", 1), (None, long[4], "en", "s", 1), (7, None, "en", "s", 1), (6, "", "en", "s", 1), (4, long[5], "en", "s", 3), (4, long[5], "en", "s", 3)]
+    got = neardup.one_of_each(clashing(spark.createDataFrame(rows, DOCS))).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("1", long[0]), ("1", long[1]), ("None", long[2]), ("None", long[3]), ("8", long[4]), ("6", ""), ("4", long[5])])
+
+
+@pytest.mark.parametrize("block", [1_000, 4])
+def test_five_word_links_join_all(spark, monkeypatch, block):
+    """A large group of near copies whose least member is unlike most of it, in one block and in blocks of four."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    draw = random.Random(15)
+    body = [f"w{draw.randrange(500)}" for _ in range(200)]
+    texts = []
+    for k in range(60):
+        words = list(body)
+        for i in range(k % 12):
+            words[(i * 16 + 3) % 200] = f"n{k}_{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"z{draw.randrange(900)}" for _ in range(80)) for _ in range(20)]
+    sets = [five_word_sets(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    joined = {r.id: r.component for r in neardup.connected_components(neardup.near_duplicates(docs(spark, texts))).collect()}
+    assert [joined.get(i, i) for i in range(len(texts))] == label and label.count(0) > 20
+
+
+def test_sift(spark):
+    rows = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("key"), "id")
+    found = sift.marked(rows, rows.filter("id % 50 = 0"))
+    assert found.filter("id % 50 = 0 and not maybe").count() == 0
+    assert found.filter("maybe").count() < 800 and found.columns == ["key", "id", "maybe"]
+    assert sift.marked(rows, rows.limit(0)).filter("maybe").count() == 0
+
+
+def test_units_come_whole():
+    import pyarrow as pa
+
+    rows = [(t, k, 16, a, a) for t in range(2) for a in range(7) for k in range(a * 10, a * 10 + 1 + a * 3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 5], strict=True)], ["t", "key", "d", "a", "b"]) for i in range(0, len(rows), 5)]
+    parts = list(simhash._whole_units(iter(batches), 12))
+    units = [{(int(t), int(a)) for t, a in zip(p[0], p[2], strict=True)} for p in parts]
+    assert sum(map(len, units)) == 14 and sum(len(p[0]) for p in parts) == len(rows) and len(parts) > 3
+
+
 @pytest.mark.parametrize("unit", [10**6, 16])
 def test_trie_loses_no_link(spark, unit):
     """Dense balls of fingerprints, also with units of work so small that hot nodes are cut into pairs of deeper ones."""
@@ -489,6 +696,39 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_language_of_copies_is_learnt(spark):
+    rows = [(i, f"the cat and the dog of house {i}", "en") for i in range(300)] + [(7, "der hund und die katze im haus", "de")] * 3000
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in found} == {"en": 300, "de": 3000}
+
+
+def test_op6_query(spark, sf_dir):
+    """Document frequencies and every prediction against plain code; and held-out accuracy."""
+    docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table = docs_.collect()
+    model = langid.train(docs_.filter("crc32(cast(doc_id as string)) % 3 != 1 and lang is not null and length(text) > 0").select(sift.row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").alias("t"), "lang"))
+    texts = [r.text for r in table if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang and r.text]
+    df, n = langid.document_frequencies(spark.createDataFrame([(t,) for t in texts], "t string"))
+    brute = Counter(f for t in texts for f in {int(f) for part in langid.features(t) for f in part})
+    assert n == len(texts) and all(df[f] == brute[f] for f in range(langid.FEATURES))
+    got = {r.doc_id: r for r in langid.op6(spark, sf_dir).collect()}
+    right = []
+    for r in table:
+        text = r.text or ""
+        g = got[r.doc_id]
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in text):
+            assert (g.lang_pred, g.score) == ("und", 0.0)
+            continue
+        counts = Counter(int(f) for part in langid.features(text) for f in part)
+        s = np.array([model.bias[k] + sum(c * float(model.weights[f, k]) for f, c in counts.items()) / sum(counts.values()) for k in range(len(model.languages))]) / model.temperature
+        p = np.exp(s - s.max())
+        assert g.lang_pred == model.languages[int(np.argmax(s))] and abs(g.score - p.max() / p.sum()) < 1e-6
+        if g.held_out and r.lang:
+            right.append(g.lang_pred == r.lang)
+    assert sum(right) >= 0.95 * len(right)
+
+
 def test_most_weights_are_zero():
     draw = np.random.default_rng(1)
     examples = [(np.array([y, 10 + y, *draw.integers(100, 5000, 20)]), np.full(22, 1 / 22), y) for y in draw.integers(0, 2, 200)]
@@ -525,6 +765,54 @@ def test_toxicity(spark):
     assert toxicity.toxicity(df.limit(0), lab).count() == 0
 
 
+def test_op2_query(spark, sf_dir):
+    """Scores and evidence against all cosines, computed densely from the definition."""
+    words = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    table = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    names = sorted({w for i in known for w in table[i]})
+    number = {w: k for k, w in enumerate(names)}
+    df = np.array([sum(w in c for c in table.values()) for w in names], dtype=float)
+    yes, no = (np.array([sum(w in table[i] for i in known if known[i] == label) for w in names], dtype=float) for label in (1, 0))
+    n1, n0 = sum(known.values()), len(known) - sum(known.values())
+    chi2 = np.array([(a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / max((a + b) * (n1 + n0 - a - b) * n1 * n0, 1e-9) for a, b in zip(yes, no, strict=True)])
+    weight = (np.log((1 + len(table)) / (1 + df)) + 1) * (1 + toxicity.GAIN * np.sqrt(np.maximum(0, chi2 - toxicity.NOISE) / (n1 + n0)))
+
+    def vector(c):
+        v = np.zeros(len(names))
+        for w, n in c.items():
+            if w in number:
+                v[number[w]] = (1 + np.log(n)) * weight[number[w]]
+        return v / np.linalg.norm(v) if v.any() else v
+
+    md5 = {i: hashlib.md5(str(i).encode()).hexdigest() + str(i) for i in known}
+    main = {i: max(table[i], key=lambda w: (table[i][w], -number[w]), default=None) for i in known}
+    order = sorted(known, key=lambda i: (number[main[i]] if main[i] else -1, known[i], md5[i]))
+    dense, labels = np.stack([vector(table[i]) for i in order]), np.array([known[i] for i in order])
+    prior = n1 / len(known)
+    plain = toxicity.Index(order, labels, weight, [], prior)
+
+    def vote(v, without=-1):
+        cosine = dense @ v
+        if without >= 0:
+            cosine[without] = 0
+        cosine = np.round(cosine, 12)
+        near = sorted((i for i in range(len(order)) if cosine[i] > 0), key=lambda i: (-cosine[i], i))[: toxicity.NEIGHBOURS]
+        weights = [cosine[i] ** 2 for i in near]
+        if not near:
+            return prior, near
+        extra = toxicity.PRIOR * sum(weights) / len(weights)
+        return (sum(w * labels[i] for w, i in zip(weights, near, strict=True)) + extra * prior) / (sum(weights) + extra), near
+
+    plain.calibrate(np.array([vote(v, k)[0] for k, v in enumerate(dense)]))
+    got = toxicity.op2(spark, sf_dir).collect()
+    assert len(got) == len(table) and sum(bool(r.evidence) for r in got) >= 0.9 * len(got)
+    for r in got:
+        v, near = vote(vector(table[r.doc_id]))
+        assert abs(r.score - plain.probability(v)) < 1e-5, r.doc_id
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+
+
 def test_nearest_is_exact():
     draw = np.random.default_rng(4)
     n, terms = 500, 60
@@ -558,15 +846,19 @@ def test_pipeline(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     table = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     good = {r.row.doc_id for r in quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("kept").collect()}
-    lines = brute_lines([(table[i].source, table[i].text.split("\n")) for i in sorted(good)], linededup.RATIO, linededup.FEWEST)
-    text = {}
-    for i, kept in zip(sorted(good), lines, strict=True):
-        whole = table[i].text
-        lost = len(whole.replace("\n", "")) - sum(map(len, kept))
-        text[i] = whole if lost > 0.5 * len(whole.replace("\n", "")) else "\n".join(kept)
+    lines = brute_source_lines([(table[i].source or "", table[i].text.split("\n")) for i in sorted(good)])
+    text = {i: "\n".join(kept) for i, kept in zip(sorted(good), lines, strict=True)}
     ids = sorted(text)
     groups = brute_groups([brute_fingerprint(text[i]) for i in ids])
-    stay = {ids[g] for g in groups}
+    stay = sorted({ids[g] for g in groups})
+    sets = {i: five_word_sets(text[i]) for i in stay}
+    label = {i: i for i in stay}
+    for i in stay:
+        for j in stay:
+            if j < i and label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = {k: a if x == b else x for k, x in label.items()}
+    stay = set(label.values())
     assert {r.doc_id for r in rows} <= stay
     sizes = Counter()
     for i in stay:
