@@ -95,9 +95,12 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
     )
-    # Windows that repeat have a neighbour of the same hash in the order of hashes; only these are looked at as text.
-    df = df.withColumn("h", F.sort_array(F.transform("i", lambda i: F.struct(F.xxhash64(F.slice("w", i, WINDOW)).alias("h"), i.alias("at")))))
-    twins = F.zip_with("h", F.slice("h", 2, F.greatest(F.size("h"), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])))
+    # Equal windows have equal hashes, so distinct hashes settle most texts. In the others, windows that repeat have a
+    # neighbour of the same hash in the order of hashes; only these are looked at as text.
+    df = df.withColumn("h", F.transform("i", lambda i: F.xxhash64(F.slice("w", i, WINDOW))))
+    placed = F.sort_array(F.zip_with("h", "i", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    df = df.withColumn("p", F.when(F.size(F.array_distinct("h")) < F.size("h"), placed))
+    twins = F.zip_with("p", F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])))
     df = df.withColumn("c", F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
     # The rest is exact: these windows are sorted as text, and neighbours compared.
     df = df.withColumn("s", F.sort_array(F.transform("c", lambda i: F.struct(_joined(i).alias("g"), i.alias("at")))))
