@@ -28,7 +28,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Keys of a text, and permutations in a key.
 BANDS, ROWS = 20, 4
 #: Texts in a block of a set: a unit of work holds at most two blocks.
-BLOCK = 1_000
+BLOCK = 256
 #: Shingles whose permutations are in hand at a time.
 PART = 2_048
 
@@ -116,50 +116,52 @@ def _compared(pairs: DataFrame) -> DataFrame:
             same = [alike(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["src", "dst"]).filter(pa.array(same, pa.bool_()))
 
-    return pairs.mapInArrow(run, "src string, dst string")
+    return pairs.mapInArrow(run, "src long, dst long")
 
 
 def links(marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """(src, dst): links that join all candidates of similarity SIMILARITY or more into components.
+    """(src, dst), numbers of documents: links that join all candidates of similarity SIMILARITY or more into components.
 
-    marks: (key, keys), each key once; texts: (key, t), which may hold more keys and may hold them repeatedly, with one text.
+    marks: (n, key, keys), each n and key once. texts: (key, t), which may hold more keys and may hold them repeatedly, with
+    one text.
     """
-    spark = marks.sparkSession
-    workers_see_package(spark)
-    buckets = marks.select("key", F.posexplode("keys").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(buckets.join(centres, "bucket").select("bucket", "centre", "key", "n"), "neardup-members")
-    asked = materialize(members.select("key").distinct(), "neardup-asked")
+    workers_see_package(marks.sparkSession)
+    buckets = marks.select("n", F.posexplode("keys").alias("band", "value")).select("n", F.xxhash64("band", "value").alias("bucket"))
+    centres = buckets.groupBy("bucket").agg(F.min("n").alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    members = materialize(buckets.join(centres, "bucket").select("bucket", "centre", "n", "size"), "neardup-members")
+    asked = materialize(members.select("n").distinct().join(marks.select("n", "key"), "n"), "neardup-asked")
     likely = marked(texts.select("key", "t"), asked).filter("maybe")
-    grams = _map_texts(likely, "grams", shingles).join(asked, "key", "left_semi").groupBy("key").agg(F.first("grams").alias("grams"))
+    grams = _map_texts(likely, "grams", shingles).join(asked, "key").groupBy("n").agg(F.first("grams").alias("grams"))
     grams = materialize(grams, "neardup-grams")
-    stars = members.filter("key != centre").select(F.col("centre").alias("src"), F.col("key").alias("dst")).distinct()
-    stars = stars.join(grams.select(F.col("key").alias("dst"), F.col("grams").alias("y")), "dst").join(grams.select(F.col("key").alias("src"), F.col("grams").alias("x")), "src")
+    stars = members.filter("n != centre").select(F.col("centre").alias("src"), F.col("n").alias("dst")).distinct()
+    stars = stars.join(grams.select(F.col("n").alias("dst"), F.col("grams").alias("y")), "dst").join(grams.select(F.col("n").alias("src"), F.col("grams").alias("x")), "src")
     near = materialize(_compared(stars.select("src", "dst", "x", "y")), "neardup-stars")
-    # Sets of three or more that the stars didn't join; sets alike in all members are one.
-    joined_ = connected_components(near).select(F.col("id").alias("key"), "component")
-    members = members.filter("n > 2").join(joined_, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    members = materialize(members, "neardup-components")
-    open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("n"), F.bit_xor(F.xxhash64("key")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("r"))
-    open_ = open_.filter("lo != hi").groupBy("n", "s", "r").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    units = members.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "component")
-    units = units.join(grams, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+    # A text's label is the least of those that it is known to be joined with by a link, or by two. Sets of three or more whose
+    # labels differ are left; sets alike in all members are one.
+    least = near.groupBy(F.col("dst").alias("n")).agg(F.min("src").alias("label"))
+    above = least.select(F.col("n").alias("label"), F.col("label").alias("above"))
+    least = least.join(above, "label", "left").select("n", F.coalesce("above", "label").alias("label"))
+    members = members.filter("size > 2").join(least, "n", "left").withColumn("label", F.coalesce("label", "n"))
+    members = materialize(members, "neardup-labels")
+    open_ = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("size").alias("size"), F.bit_xor(F.xxhash64("n")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "n")).alias("r"))
+    open_ = open_.filter("lo != hi").groupBy("size", "s", "r").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    units = members.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "label")
+    units = units.join(grams, "n").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def found() -> pa.RecordBatch:
-            label = np.array([r[1] for r in rows])
-            side = np.array([r[2] for r in rows]) if now[1] != now[2] else None
-            least = np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]
-            new = joined([r[3] for r in rows], label, side)
-            far = np.flatnonzero(new != least)
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in far], pa.string()), pa.array([rows[i][0] for i in new[far]], pa.string())], ["src", "dst"])
+            n, label, side = (np.array([r[i] for r in rows]) for i in range(3))
+            first, place = np.unique(label, return_index=True, return_inverse=True)[1:]
+            new = joined([r[3] for r in rows], label, side if now[1] != now[2] else None)
+            far = np.flatnonzero(new != first[place])
+            return pa.RecordBatch.from_arrays([pa.array(n[far], pa.int64()), pa.array(n[new[far]], pa.int64())], ["src", "dst"])
 
         for batch in batches:
-            unit = zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")), strict=True)
-            for key, one, label, block, own in zip(unit, batch.column("key").to_pylist(), batch.column("component").to_pylist(), batch.column("block").to_pylist(), batch.column("grams"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "n", "label", "block")]
+            for *key, one, label, block, own in zip(*columns, batch.column("grams"), strict=True):
                 if key != now:
                     if len(rows) > 1:
                         yield found()
@@ -168,11 +170,11 @@ def links(marks: DataFrame, texts: DataFrame) -> DataFrame:
         if len(rows) > 1:
             yield found()
 
-    return near.union(units.mapInArrow(run, "src string, dst string"))
+    return near.union(units.mapInArrow(run, "src long, dst long"))
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """(key, id, fp, keys) per row of rows (key, id, t): SimHash fingerprint and the keys of five-word shingles, in one pass over the texts."""
+    """(key, id, fp, keys, n) per row of rows (key, id, t), written down: SimHash fingerprint, keys of five-word shingles, both from one pass over the texts, and a number."""
     out = T.StructType([rows.schema["key"], rows.schema["id"], T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,7 @@ def _marks(rows: DataFrame) -> DataFrame:
                 found.append(keys(shingles(text)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(fps, pa.int64()), pa.array(found, pa.list_(pa.int64()))], out.names)
 
-    return rows.select("key", "id", "t").mapInArrow(run, out)
+    return materialize(rows.select("key", "id", "t").mapInArrow(run, out).withColumn("n", F.monotonically_increasing_id()), "neardup-marks")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,17 +200,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     workers_see_package(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("id"), docs[text].cast("string").alias("t"))
     rows = rows.withColumn("key", row_key(F.col("id"), F.col("t")))
-    marks = materialize(_marks(rows), "neardup-marks")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    marks = _marks(rows)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "n")
     first = materialize(marks.groupBy("fp").agg(F.min(order).alias("first")), "neardup-fps")
-    left = simhash.groups(first).groupBy("component").agg(F.min("first").alias("first")).select("first.key", "first.id")
-    left = materialize(left, "neardup-first")
-    alone = marks.join(left.select("key"), "key", "left_semi").groupBy("key").agg(F.first("keys").alias("keys"))
-    near = connected_components(links(materialize(alone, "neardup-keys"), rows)).withColumnRenamed("id", "key")
-    near = near.join(left, "key").withColumn("order", order)
-    stay = near.groupBy("component").agg(F.min("order").alias("first")).select("first.key")
-    gone = near.select("key").join(stay, "key", "left_anti").union(marks.select("key").distinct().join(left.select("key"), "key", "left_anti"))
-    gone = materialize(gone, "neardup-gone")
+    left = simhash.groups(first).groupBy("component").agg(F.min("first").alias("first")).select("first.n")
+    left = materialize(marks.join(left, "n", "left_semi").select("n", "key", "id", "keys"), "neardup-left")
+    near = connected_components(links(left.select("n", "key", "keys"), rows)).withColumnRenamed("id", "n")
+    near = near.join(left.drop("keys"), "n").withColumn("order", order)
+    lose = near.join(near.groupBy("component").agg(F.min("order").alias("first")).select("first.n"), "n", "left_anti").select("key")
+    stay = left.select("key").join(lose, "key", "left_anti")
+    gone = materialize(marks.select("key").distinct().join(stay, "key", "left_anti"), "neardup-gone")
     again = marks.groupBy("key").count().filter("count > 1").select("key")
     found = marked(rows.select("row", "key"), materialize(gone.union(again), "neardup-doubtful"))
     doubtful = found.filter("maybe").join(gone, "key", "left_anti").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
@@ -218,7 +219,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(src, dst) links of five-word similarity alone, by document id. Ids must be distinct and not null."""
     rows = docs.select(docs[doc_id].alias("id"), docs[text].cast("string").alias("t")).withColumn("key", row_key(F.col("id"), F.col("t")))
-    marks = materialize(_marks(rows), "neardup-marks")
-    found = links(marks.select("key", "keys"), rows)
-    id_of = lambda c: marks.select(F.col("key").alias(c), F.col("id").alias(f"{c}_id"))
+    marks = _marks(rows)
+    found = links(marks.select("n", "key", "keys"), rows)
+    id_of = lambda c: marks.select(F.col("n").alias(c), F.col("id").alias(f"{c}_id"))
     return found.join(id_of("src"), "src").join(id_of("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
