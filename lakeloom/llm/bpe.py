@@ -75,6 +75,9 @@ class Chunks:
 
     def __init__(self, meaning, most: int = REMEMBERED, most_chars: int = REMEMBERED_CHARS):
         self.meaning, self.most, self.most_chars = meaning, most, most_chars
+        self.forget()
+
+    def forget(self) -> None:
         self.after_space = Generations()  # by the chunk without its first space
         self.other = Generations()
 
@@ -175,6 +178,12 @@ class Codec(Matches):
         ids = self.matches.young
         return [ids[row[0]] if len(row) == 1 else tuple(i for m in row for i in ids[m]) for row in rows]
 
+    def forget(self) -> None:
+        """Drops what is remembered, so that an idle worker holds the vocabulary only."""
+        self.matches = Generations()
+        if self.chunks:
+            self.chunks.forget()
+
     def ids(self, text: str) -> list[int]:
         if not AGREED.fullmatch(text):
             return self._tiktoken().encode_ordinary(text)
@@ -256,6 +265,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", pattern: str | None =
                     spans = [own.offsets(t) for t in texts]
                     columns += [pa.array([[s[k] for s in row] for row in spans], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in [*fields, *added]])
+        own.forget()
 
     return here.mapInArrow(run, T.StructType(fields + added))
 
@@ -316,6 +326,7 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                 rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_())], out.names)
+        own.forget()
 
     return here.mapInArrow(run, out)
 

@@ -101,6 +101,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         for batch in batches:
             found = [own.count(t.as_py()) for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(found, pa.int64())], out.names)
+        own.chunks.forget()
 
     return here.mapInArrow(run, out).withColumn("over_limit", F.col("n_tokens") > limit)
 
