@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,17 @@ from pyspark.sql import types as T
 from lakeloom.runtime import materialize, workers_see_package
 
 #: The classifier is fitted on at most so many labelled rows, half of them toxic if there are enough.
-SAMPLE = 4_000
+SAMPLE = 3_000
 #: How much a tie to the label adds to a term's weight; chi-square up to NOISE counts as no tie (1 of 100 has more by chance).
 GAIN, NOISE = 20.0, 6.6
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the prior among the votes, as a part of one neighbour's, and the power of the cosine that a vote weighs.
 PRIOR, POWER = 0.2, 2.0
 EVIDENCE = 3
+#: Words whose counts a task holds before it drops those that aren't terms.
+HELD = 200_000
+#: A term that more than one of so many examples has is kept as a full row of weights instead of postings.
+COMMON = 8
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,9 +58,10 @@ class Vocabulary:
         self.number = {t: i for i, t in enumerate(names)}
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        number = self.number
-        found = sorted((number[t], n) for t, n in terms(text).items() if t in number)
-        return np.array([t for t, _ in found], dtype=np.int64), np.array([n for _, n in found], dtype=np.float64)
+        found, get = terms(text), self.number.get
+        at = np.array(list(map(get, found, repeat(-1))), dtype=np.int64)
+        known = at >= 0
+        return at[known], np.array(list(found.values()), dtype=np.float64)[known]
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +72,7 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Index:
-    """Unit vectors of the examples as postings by term, cut into runs of one block of BLOCK examples."""
+    """Unit vectors of the examples as postings by term, cut into runs of one block of BLOCK examples; common terms as full rows."""
 
     ids: list
     labels: np.ndarray
@@ -81,14 +87,19 @@ class Index:
         row = np.repeat(np.arange(len(self.vectors)), [len(at) for at, _ in self.vectors])
         term = np.concatenate([at for at, _ in self.vectors] or [np.zeros(0, dtype=np.int64)])
         value = np.concatenate([w for _, w in self.vectors] or [np.zeros(0)])
+        common = np.bincount(term, minlength=len(self.weight)) * COMMON > len(self.ids)
+        self.full_row = np.where(common, np.cumsum(common) - 1, -1)
+        here = common[term]
+        self.full = np.zeros((int(common.sum()), self.blocks * BLOCK))
+        self.full[self.full_row[term[here]], row[here]] = value[here]
+        row, term, value = row[~here], term[~here], value[~here]
         order = np.lexsort((row, term))
         self.row, self.value, term = row[order].astype(np.int32), value[order], term[order]
         block = self.row // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, dtype=np.int64)
         self.entry = np.append(first, len(term))  # where the postings of a run begin
         self.block = block[first]
-        most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
-        self.most = np.nextafter(most.astype(np.float32), np.float32(2))  # rounded up, so that bounds hold
+        self.most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.run = np.searchsorted(term[first], np.arange(len(self.weight) + 1))  # where the runs of a term begin
         self.vectors = []
 
@@ -97,31 +108,42 @@ class Index:
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above 0, ties to the earlier example."""
-        runs, n = _ranges(self.run[at], self.run[at + 1])
-        if not len(runs):
+        if not len(at):
             return []
+        full = self.full_row[at]
+        common = full >= 0
+        full, strength = full[common], w[common]
+        at, w = at[~common], w[~common]
+        runs, n = _ranges(self.run[at], self.run[at + 1])
         w = np.repeat(w, n)
         block = self.block[runs]
-        bound = np.bincount(block, w * self.most[runs], self.blocks) * (1 + 1e-9)
+        known = (strength @ self.full[full]).reshape(-1, BLOCK)
+        bound = (np.bincount(block, w * self.most[runs], self.blocks) + known.max(axis=1)) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         found: list[tuple[float, int]] = []
-        done, step = 0, 8
-        while done < len(order) and not (len(found) >= k and found[k - 1][0] > bound[order[done]]):
-            now = np.zeros(self.blocks, dtype=bool)
-            now[order[done : done + step]] = True
-            pick = now[block]
+        done = 0
+        while done < len(order):
+            # First the best few blocks, then all whose bound isn't below the k-th best cosine.
+            reach = done + 8 if len(found) < k else int((bound[order] >= found[k - 1][0]).sum())
+            if reach <= done:
+                break
+            now = np.sort(order[done:reach])
+            asked = np.zeros(self.blocks, dtype=bool)
+            asked[now] = True
+            pick = asked[block]
             own = runs[pick]
             entries, n = _ranges(self.entry[own], self.entry[own + 1])
-            rows = self.row[entries]
-            cosine = np.bincount(rows, np.repeat(w[pick], n) * self.value[entries], len(self.ids))
+            cosine = np.bincount(self.row[entries], np.repeat(w[pick], n) * self.value[entries], self.blocks * BLOCK).reshape(-1, BLOCK)[now]
+            cosine = (cosine + known[now]).ravel()
+            rows = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             if without >= 0:
-                cosine[without] = 0
+                cosine[rows == without] = 0
             hits = np.flatnonzero(cosine > 0)
             if len(hits) > k:
                 hits = hits[cosine[hits] >= np.partition(cosine[hits], -k)[-k]]
-            found = sorted(found + [(float(cosine[h]), int(h)) for h in hits], key=lambda x: (-x[0], x[1]))[:k]
-            done, step = done + step, step * 2
+            found = sorted(found + [(float(cosine[h]), int(rows[h])) for h in hits], key=lambda x: (-x[0], x[1]))[:k]
+            done = reach
         return found
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -176,11 +198,21 @@ def _frequencies(texts: DataFrame, names) -> tuple[np.ndarray, int]:
     size = len(names.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, df = {t: i for i, t in enumerate(names.value)}, np.zeros(size + 1, dtype=np.int64)
+        number, df, seen = {t: i for i, t in enumerate(names.value)}, np.zeros(size + 1, dtype=np.int64), Counter()
+
+        def settle() -> None:
+            for t, n in seen.items():
+                if t in number:
+                    df[number[t]] += n
+            seen.clear()
+
         for batch in batches:
             for text in batch.column("t"):
-                df[[number[t] for t in set(WORD.findall(text.as_py().lower())) if t in number]] += 1
+                seen.update(set(WORD.findall(text.as_py().lower())))
                 df[size] += 1
+                if len(seen) > HELD:
+                    settle()
+        settle()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["f", "n"])
 
