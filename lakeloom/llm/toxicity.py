@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lakeloom.runtime import materialize, workers_see_package
 
 #: The classifier is fitted on at most so many labelled rows, half of them toxic if there are enough.
-SAMPLE = 3_000
+SAMPLE = 2_400
 #: How much a tie to the label adds to a term's weight; chi-square up to NOISE counts as no tie (1 of 100 has more by chance).
 GAIN, NOISE = 20.0, 6.6
 NEIGHBOURS, BLOCK = 15, 64
