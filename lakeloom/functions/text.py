@@ -68,9 +68,14 @@ def same_language(a: Column, b: Column) -> Column:
     return F.split_part(F.lower(a), F.lit("-"), F.lit(1)) == F.split_part(F.lower(b), F.lit("-"), F.lit(1))
 
 
+def stripped(text: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_question(question: Column) -> Column:
-    """Without outer blanks, then without outer quotes, then blanks again."""
-    return F.trim(F.btrim(F.trim(question), F.lit("\"'")))
+    """Without outer white space, then without outer double quotes, then single ones, then white space again."""
+    return stripped(F.btrim(F.btrim(stripped(question), F.lit('"')), F.lit("'")))
 
 
 def csv_list(value: Column) -> Column:
@@ -82,6 +87,26 @@ def fingerprint(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 10)
 
 
+def crc32(text: Column) -> Column:
+    """CRC-32 of the text's UTF-8, a long from 0 on."""
+    return F.crc32(text.cast("binary"))
+
+
+def hash64(value: Column) -> Column:
+    """A 64-bit hash that spreads values over buckets."""
+    return F.xxhash64(value)
+
+
+def elapsed(start: Column, end: Column, unit: str = "MILLISECOND") -> Column:
+    """Whole units between two times."""
+    return F.timestamp_diff(unit, start, end)
+
+
+def read_json(text: Column, schema: str) -> Column:
+    """A struct of the schema; null for what isn't JSON."""
+    return F.from_json(text, schema, {"mode": "PERMISSIVE"})
+
+
 def l2_normalised(vector: Column) -> Column:
     """The vector over its length; a vector of zeros stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -57,6 +57,28 @@ class Graph:
         asked = pairs.select("u", "v", a.alias("src"), b.alias("dst"))
         return asked.join(self.edges.withColumn("hit", F.lit(True)), ["src", "dst"], "left").select("u", "v", F.coalesce("hit", F.lit(False)).alias("found"))
 
+    def indexed(self) -> DataFrame:
+        """(index, id): vertices numbered from 0 by rising id, without one task that sorts them all."""
+        return numbered(self.vertices, ["id"], "index", 0).select("index", "id")
+
+    def dense(self) -> DataFrame:
+        """(src, dst) as indexes of indexed()."""
+        index = materialize(self.indexed(), "graph-index")
+        end = lambda c: index.select(F.col("id").alias(c), F.col("index").alias(f"{c}_index"))
+        return self.edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_index").alias("src"), F.col("dst_index").alias("dst"))
+
+    def external_id(self, index: int) -> int:
+        """The id at an index; IndexError outside 0 to the number of vertices."""
+        found = None if index < 0 else self.indexed().filter(F.col("index") == index).first()
+        if found is None:
+            raise IndexError(index)
+        return found.id
+
+    def degree_at(self, index: int) -> tuple[int, int]:
+        """Out- and in-degree of the vertex at an index; IndexError outside."""
+        node = self.external_id(index)
+        return tuple(self.neighbours(d).filter(F.col("src") == node).count() for d in ("out", "in"))
+
     def neighbours_of(self, node: int, direction: str = "out") -> DataFrame:
         """(id) in order; KeyError if the node isn't there."""
         near = self.neighbours(direction).filter(F.col("src") == node).select(F.col("dst").alias("id")).orderBy("id")
@@ -183,27 +205,46 @@ def bfs_distance(graph: Graph, source: int, max_depth: int | None = None, direct
     return seen
 
 
+def reach(walked: DataFrame) -> DataFrame:
+    """nodes, depth: how many nodes a walk of bfs() or bfs_distance() reached, and the greatest distance."""
+    return walked.agg(F.count("*").alias("nodes"), F.max("distance").alias("depth"))
+
+
 def shortest_path(graph: Graph, source: int, target: int, direction: str = "out", one_task: int = ONE_TASK) -> list[int] | None:
     """Nodes of a path with the fewest steps, each found by the earliest; None if there is none."""
     _empty_guard(graph, source, target)
     if source == target:
         return [source]
+    steps = graph.neighbours(direction)
+    if _one_task(steps, one_task):
+        # The task that walks also walks back, and returns the path alone.
+        rows = _from(graph, steps, _walk_back(source, target), "step long, id long", []).orderBy("step").collect()
+        return [r.id for r in rows] or None
     found = materialize(bfs(graph, source, direction=direction, target=target, one_task=one_task), "path")
-    path = [target]
-    step = found.filter(F.col("id") == target).first()
-    if step is None:
-        return None
-    if _one_task(found, one_task):
-        parent = dict(found.filter("parent is not null").select("id", "parent").collect())
-        while path[-1] in parent:
-            path.append(parent[path[-1]])
-        return path[::-1]
-    while step.parent is not None:  # a job per step of the path; the tree stays distributed
-        path.append(step.parent)
-        step = found.filter(F.col("id") == step.parent).first()
+    path, node = [], target
+    while node is not None:  # a job per step of the path; the tree stays distributed
+        step = found.filter(F.col("id") == node).first()
+        if step is None:
+            return None
+        path.append(node)
+        node = step.parent
     return path[::-1]
 
 
+def _walk_back(source: int, target: int):
+    levels = _walk_levels(source, None, target)
+
+    def walk(edges: pd.DataFrame) -> pd.DataFrame:
+        found = levels(edges).set_index("id")["parent"]
+        path, node = [], target if target in found.index else None
+        while node is not None:
+            path.append(node)
+            node = None if pd.isna(found[node]) else int(found[node])
+        return pd.DataFrame({"step": range(len(path)), "id": path[::-1]}).astype("int64")
+
+    return walk
+
+
 def dfs(graph: Graph, source: int, direction: str = "out", one_task: int = ONE_TASK) -> DataFrame:
     """(id, ord) in pre-order, neighbours by rising id.
 
@@ -253,8 +294,8 @@ def _rank_in_one_task(nodes: np.ndarray, edges: pd.DataFrame, damping: float, to
 
 def pagerank(graph: Graph, damping: float = 0.85, tol: float = 1e-9, max_iter: int = 200, one_task: int = ONE_TASK) -> Ranks:
     """Uniform start and teleport; what nodes without out-edges hold goes to all alike; stops when the sum of changes is below tol."""
-    if not 0 <= damping < 1 or tol <= 0 or max_iter < 1:
-        raise ValueError("damping must be in [0, 1), tol positive, max_iter at least 1")
+    if not 0 < damping < 1 or tol <= 0 or max_iter < 1:
+        raise ValueError("damping must be above 0 and below 1, tol positive, max_iter at least 1")
     n = graph.vertices.count()
     if not n:
         return Ranks(graph.vertices.withColumn("score", F.lit(0.0)), 0, True)
@@ -411,9 +452,10 @@ def _strong_in_one_task(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(component), "component": list(component.values())})
 
 
-def sizes(components: DataFrame) -> DataFrame:
-    """(component, size)"""
-    return components.groupBy("component").agg(F.count("*").alias("size"))
+def sizes(components: DataFrame, first: int | None = None) -> DataFrame:
+    """(component, size); the first so many from the largest on, if a number is given."""
+    found = components.groupBy("component").agg(F.count("*").alias("size"))
+    return found if first is None else found.orderBy(F.desc("size"), "component").limit(first)
 
 
 def largest(components: DataFrame) -> DataFrame:
@@ -422,3 +464,22 @@ def largest(components: DataFrame) -> DataFrame:
     all_ = each.agg(F.count("*").alias("components"), F.sum("size").alias("nodes"))
     first = each.orderBy(F.desc("size"), "component").limit(1)
     return first.join(all_, F.lit(True)).select("component", "size", "components", F.round(100 * F.col("size") / F.col("nodes"), 1).alias("percent"))
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """What analyse() finds: the best ranked vertices (place, id, score), and a row each of largest()."""
+
+    top: DataFrame
+    iterations: int
+    converged: bool
+    weak: DataFrame
+    strong: DataFrame
+
+
+def analyse(graph: Graph, k: int = 10, damping: float = 0.85, tol: float = 1e-9, max_iter: int = 200, one_task: int = ONE_TASK) -> Analysis:
+    """PageRank's first k and both kinds of components, in one go."""
+    ranks = pagerank(graph, damping, tol, max_iter, one_task)
+    best = ranks.scores.orderBy(F.desc("score"), "id").limit(k)
+    best = best.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("place"), "id", "score")  # k rows
+    return Analysis(best, ranks.iterations, ranks.converged, largest(weak_components(graph, one_task)), largest(strong_components(graph, one_task)))

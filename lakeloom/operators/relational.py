@@ -54,3 +54,13 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str
 def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k rows of a total order: each task keeps k, and only those meet."""
     return df.orderBy(*order).limit(k)
+
+
+def difference(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of df that other doesn't have; null is a key like any other."""
+    return df.select(*keys).subtract(other.select(*keys))
+
+
+def is_subset(df: DataFrame, other: DataFrame, keys: list[str]) -> bool:
+    """Whether other has all keys of df."""
+    return difference(df, other, keys).isEmpty()

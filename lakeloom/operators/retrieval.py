@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 
 from lakeloom.functions import text as tx
 from lakeloom.operators.relational import asof
-from lakeloom.runtime import materialize, small, workers_see_package
+from lakeloom.runtime import materialize, workers_see_package
 
 #: Where a text is cut, best first; the empty string cuts anywhere.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "। ", "? ", "! ", ". ", "; ", ", ", " ", ""]
 CHUNK_SIZE, CHUNK_OVERLAP, TOP_K, MOST_TURNS = 800, 150, 4, 4
 MMR_LAMBDA = 0.5
-#: Queries that meet a vector at a time.
-QUERY_BLOCK = 256
+#: Vectors in a block, and queries that meet it at a time.
+VECTOR_BLOCK, QUERY_BLOCK = 65_536, 256
 NOT_FOUND = "The transcript does not say."
 CONDENSE = "Rewrite the last question so that it can be read without the conversation.\n\nConversation:\n%s\n\nQuestion: %s\nRewritten question:"
 ANSWER = "Answer from the excerpts only, and name their time marks. If they do not hold the answer, say: %s\n\nExcerpts:\n%s\n\nConversation:\n%s\n\nQuestion: %s\nAnswer:"
@@ -50,9 +50,9 @@ def offsets(segments: DataFrame, keys: list[str], clean: Callable[[Column], Colu
 
 
 def assemble(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, text: the cleaned segments of offsets() joined by one blank, in order."""
+    """keys, text, last_pos: the cleaned segments of offsets() joined by one blank, in order, and where the last one begins."""
     ordered = F.array_sort(F.collect_list(F.struct("seg", "text")))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.max("pos").alias("last_pos"))
 
 
 def _pieces(text: str, separators: list[str]) -> tuple[list[str], list[str]]:
@@ -163,22 +163,50 @@ def embed(df: DataFrame, text: str = "text", model: Callable[[], Callable[[list[
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, similarity): the k most similar by cosine, exact. queries: query_id, vector; a stated set.
+    """(query_id, rank, vec_id, similarity): the k most similar by cosine to 9 digits, exact, ties to smaller ids. queries: query_id, vector; a stated set.
 
-    Queries are gathered into blocks of QUERY_BLOCK, one row each. A vector meets every block once and scores against the
-    block in place; only the best k of each task's rows per query meet in the last ranking.
+    A block of vectors is one task's work: they move once, and the queries pass by in batches, scored as a product of
+    matrices. Each block returns its k best for each query, and only those meet in the last ranking.
     """
-    unit = vectors.select(F.col(vec_id).alias("vec_id"), tx.l2_normalised(F.col(embedding)).alias("v"))
-    asked = materialize(queries.select("query_id", tx.l2_normalised(F.col("vector")).alias("q")), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    asked = asked.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    width = asked.agg(F.max(F.size("asked") * F.size(F.col("asked")[0]["q"]))).first()[0] or 0
-    met = unit.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(small(asked, 8 * width), "block")
-    scored = F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(tx.dot(x["q"], F.col("v")), 9).alias("similarity")))
-    pairs = met.select("vec_id", F.explode(scored).alias("s")).select("s.query_id", "vec_id", "s.similarity")
+    workers_see_package(vectors.sparkSession)
+    unit = materialize(vectors.select(F.col(vec_id).alias("vec_id"), tx.l2_normalised(F.col(embedding)).alias("v")), "vectors")
+    blocks = max(1, -(-unit.count() // VECTOR_BLOCK))
+    ids, asks = unit.schema["vec_id"].dataType, queries.schema["query_id"].dataType
+    dealt = unit.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast(asks).alias("query_id"), "vec_id", "v", F.lit(False).alias("asks"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", F.lit(None).cast(ids).alias("vec_id"), tx.l2_normalised(F.col("vector")).alias("v"), F.lit(True).alias("asks"))
+    out = T.StructType([T.StructField("query_id", asks), T.StructField("vec_id", ids), T.StructField("similarity", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, whole, names, held = None, None, [], []
+        for batch in batches:
+            place, kind = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            for part in np.split(np.arange(len(place)), np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1):
+                if not len(part):
+                    continue
+                if place[part[0]] != now:
+                    now, whole, names, held = place[part[0]], None, [], []
+                rows = batch.slice(part[0], len(part))
+                if not kind[part[0]]:
+                    names += rows.column("vec_id").to_pylist()
+                    held.append(np.stack([np.array(x, dtype=np.float64) for x in rows.column("v").to_pylist()]))
+                    continue
+                if whole is None:
+                    whole = np.concatenate(held) if held else np.zeros((0, 0))
+                found = []
+                for i in range(0, len(part), QUERY_BLOCK) if len(whole) else ():
+                    piece = rows.slice(i, QUERY_BLOCK)
+                    similar = np.round(np.stack([np.array(x, dtype=np.float64) for x in piece.column("v").to_pylist()]) @ whole.T, 9)
+                    for q, row in zip(piece.column("query_id").to_pylist(), similar, strict=True):
+                        least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                        best = np.flatnonzero(row >= least)  # in the order of ids
+                        best = best[np.argsort(-row[best], kind="stable")[:k]]
+                        found += [(q, names[j], float(row[j])) for j in best]
+                types = [batch.schema.field("query_id").type, batch.schema.field("vec_id").type, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(types)], out.names)
+
+    scored = dealt.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks", "vec_id").mapInArrow(run, out)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "similarity")
 
 
 def fetch_size(k: int) -> int:
@@ -219,10 +247,17 @@ def context(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def history(turns: DataFrame, keys: list[str], most: int = MOST_TURNS) -> DataFrame:
-    """keys, history: the last turns, in order, one line each. turns: keys, turn, role, text."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("turn"))
-    last = turns.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most)
-    return _joined(last, keys, ["turn"], F.concat_ws(": ", F.initcap("role"), F.col("text")), "\n", "history")
+    """keys, history: the last pairs of a question and its answer, in order, two lines each. turns: keys, turn, role, text.
+
+    A pair is a user's row and the assistant's rows up to the user's next. Questions without an answer, what is said before
+    the first question and other roles' rows are left out.
+    """
+    so_far = Window.partitionBy(*keys).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    rows = turns.filter(F.col("role").isin("user", "assistant")).withColumn("__pair", F.count_if(F.col("role") == "user").over(so_far))
+    pairs = rows.filter("__pair > 0").groupBy(*keys, "__pair").agg(F.bool_or(F.col("role") == "assistant").alias("__answered")).filter("__answered")
+    newest = Window.partitionBy(*keys).orderBy(F.desc("__pair"))
+    pairs = pairs.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= most).select(*keys, "__pair")
+    return _joined(rows.join(pairs, [*keys, "__pair"]), keys, ["turn"], F.concat_ws(": ", F.initcap("role"), F.col("text")), "\n", "history")
 
 
 def standalone(df: DataFrame, rewrite: Callable[[Column], Column]) -> DataFrame:

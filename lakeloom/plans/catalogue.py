@@ -234,9 +234,11 @@ _ORPHANS = """SELECT l_orderkey, l_linenumber FROM {l} l
 
 @query(_ORPHANS.format(l="lineitem", o="orders", p="part"))
 def orphans_not_exists_or(spark, sf_dir):
-    for t in ("lineitem", "orders", "part"):
-        read(spark, sf_dir, t)[0].createOrReplaceTempView(f"{t}_orphans")
-    return spark.sql(_ORPHANS.format(l="lineitem_orphans", o="orders_orphans", p="part_orphans"))
+    lines, orders, part = read(spark, sf_dir, "lineitem", "orders", "part")
+    orders, part = orders.filter("o_orderkey % 11 <> 0"), part.filter("p_partkey % 13 <> 0")
+    on = F.col("l_orderkey") == F.col("o_orderkey")
+    lacking = lines.join(orders, on, "left_anti").unionByName(lines.join(orders, on, "left_semi").join(part, F.col("l_partkey") == F.col("p_partkey"), "left_anti"))
+    return lacking.select("l_orderkey", "l_linenumber")
 
 
 @query(_ORPHANS.format(l="lineitem", o="orders", p="part"))
@@ -306,25 +308,23 @@ def top10_rows(spark, sf_dir):
 
 # --- graph ----------------------------------------------------------------------------------------------------------
 
-_RAW_EDGES = """SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, event_type, value FROM events"""
-_EDGES = f"e AS (SELECT DISTINCT src, dst FROM ({_RAW_EDGES}) WHERE event_type = 'error' AND value > 130 AND dst IS NOT NULL AND src <> dst)"
+_RAW_EDGES = """SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events"""
+_EDGES = f"e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({_RAW_EDGES}) WHERE dst IS NOT NULL AND src <> dst)"
 _V = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
 _START = "(SELECT min(src) FROM e)"
 
 
-def _edges(spark, sf_dir, strong=True):
-    """Steps between users that follow each other: from strong errors, as the SQL asks, or from every event. The next event is found by its place, not in one sorted task."""
+def _edges(spark, sf_dir):
+    """Steps between users that follow each other. The next event is found by its place, not in one sorted task."""
     (events,) = read(spark, sf_dir, "events")
-    placed = rel.numbered(events.select("ts", "event_id", "user_id", "event_type", "value"), ["ts", "event_id"], "at")
+    placed = rel.numbered(events.select("ts", "event_id", "user_id"), ["ts", "event_id"], "at")
     after = placed.select((F.col("at") - 1).alias("at"), F.col("user_id").alias("dst"))
-    placed = placed.filter("event_type = 'error' and value > 130") if strong else placed
     found = placed.join(after, "at").select(F.col("user_id").alias("src"), "dst")
     return materialize(found, "transitions")
 
 
-def _graph(spark, sf_dir, directed=True, strong=True):
-    edges = _edges(spark, sf_dir, strong).filter("src <> dst")
-    return gr.build(edges, directed)
+def _graph(spark, sf_dir, directed=True):
+    return gr.build(_edges(spark, sf_dir).filter("src <> dst"), directed)
 
 
 def _start(graph):
@@ -346,10 +346,11 @@ def graph_degrees(spark, sf_dir):
     return _graph(spark, sf_dir).degrees()
 
 
-@query(f"WITH {_EDGES}, {_V} SELECT u AS id, u IN (SELECT id FROM v) AS found FROM range(0, 200) t(u)")
+@query(f"WITH {_EDGES}, {_V} SELECT u AS id, u IN (SELECT id FROM v) AS found FROM (SELECT user_id AS u FROM events UNION SELECT user_id + 1000000 FROM events)")
 def node_lookup(spark, sf_dir):
     graph = _graph(spark, sf_dir)
-    return spark.range(200).join(graph.vertices.withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("found"))
+    users = read(spark, sf_dir, "events")[0].select(F.explode(F.array(F.col("user_id"), F.col("user_id") + 1_000_000)).alias("id")).distinct()
+    return users.join(graph.vertices.withColumn("hit", F.lit(True)), "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
 @query(f"WITH {_EDGES} SELECT u, v, EXISTS (SELECT 1 FROM e WHERE src = u AND dst = v) AS found FROM (SELECT u, (u * 7) % 50 AS v FROM range(0, 200) t(u) UNION SELECT src, dst FROM e)")
@@ -369,10 +370,16 @@ def neighbors_both(spark, sf_dir):
     return _graph(spark, sf_dir).adjacency("both").select("id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-def _reach(steps, depth=1000):
-    return f"""WITH RECURSIVE {_EDGES}, s AS ({steps}),
- r AS (SELECT {_START} AS id, 0 AS distance UNION SELECT s.dst, distance + 1 FROM r JOIN s ON s.src = r.id WHERE distance < least({depth}, (SELECT count(*) FROM e)) AND distance < 40)
- SELECT id, min(distance)::INTEGER AS distance FROM r GROUP BY id"""
+def _walk(steps, depth=1 << 30):
+    """WITH clause up to w(distance, found): the nodes of each level, and all found up to it; a level is what the last one's steps add."""
+    return f"""WITH RECURSIVE {_EDGES}, s AS MATERIALIZED (SELECT src, list(dst) AS near FROM ({steps}) GROUP BY src),
+ w AS (SELECT 0 AS distance, [{_START}] AS level, [{_START}] AS found
+  UNION ALL SELECT distance + 1, new, list_concat(found, new) FROM (SELECT w.distance, any_value(w.found) AS found, list_filter(list_distinct(flatten(list(s.near))), lambda x: NOT list_contains(any_value(w.found), x)) AS new
+   FROM (SELECT distance, found, unnest(level) AS id FROM w WHERE distance < {depth}) w JOIN s ON s.src = w.id GROUP BY w.distance) WHERE len(new) > 0)"""
+
+
+def _reach(steps, depth=1 << 30):
+    return _walk(steps, depth) + " SELECT unnest(level) AS id, distance::INTEGER AS distance FROM w"
 
 
 @query(_reach("SELECT src, dst FROM e"))
@@ -393,23 +400,53 @@ def bfs_both(spark, sf_dir):
     return gr.bfs_distance(graph, _start(graph), direction="both")
 
 
-@query()
+#: Joins instead of one task, whatever the size.
+JOINED = 0
+
+
+@query(_reach("SELECT src, dst FROM e"))
+def bfs_distance_by_joins(spark, sf_dir):
+    graph = _graph(spark, sf_dir)
+    return gr.bfs_distance(graph, _start(graph), one_task=JOINED)
+
+
+_BOTH = "SELECT src, dst FROM e UNION SELECT dst, src FROM e"
+_ORDER = f"""WITH RECURSIVE {_EDGES}, s AS MATERIALIZED ({_BOTH}),
+ w AS (SELECT 0 AS distance, [{_START}] AS level, [{_START}] AS found
+  UNION ALL SELECT distance + 1, new, list_concat(found, new) FROM (SELECT any_value(distance) AS distance, any_value(found) AS found, list(id ORDER BY pos, id) AS new FROM (
+   SELECT x.distance, x.found, s.dst AS id, min(x.pos) AS pos FROM (SELECT distance, found, unnest(level) AS node, unnest(range(len(level))) AS pos FROM w) x JOIN s ON s.src = x.node
+   WHERE NOT list_contains(x.found, s.dst) GROUP BY ALL)) WHERE new IS NOT NULL),
+ o AS (SELECT unnest(level) AS id, distance::INTEGER AS distance, (len(found) - len(level) + unnest(range(len(level))))::BIGINT AS ord FROM w)"""
+
+
+@query(_ORDER + " SELECT id, distance, ord FROM o")
+def bfs_order_by_joins(spark, sf_dir):
+    graph = _graph(spark, sf_dir)
+    return gr.bfs(graph, _start(graph), direction="both", one_task=JOINED).select("id", "distance", "ord")
+
+
+@query(_ORDER + " SELECT id, distance, ord FROM o")
 def bfs_order(spark, sf_dir):
-    graph = _graph(spark, sf_dir, strong=False)
+    graph = _graph(spark, sf_dir)
     return gr.bfs(graph, _start(graph), direction="both").select("id", "distance", "ord")
 
 
-@query()
+@query(_ORDER + """, f AS (SELECT o.id, arg_min(p.id, p.ord) AS parent FROM o JOIN s ON s.dst = o.id JOIN o p ON p.id = s.src AND p.distance = o.distance - 1 GROUP BY o.id),
+ path AS (SELECT (SELECT max(dst) FROM s) AS id UNION ALL SELECT f.parent FROM path JOIN f USING (id)) SELECT distance::BIGINT AS step, id FROM path JOIN o USING (id)""")
 def shortest_path_nodes(spark, sf_dir):
-    graph = _graph(spark, sf_dir, strong=False)
+    graph = _graph(spark, sf_dir)
     end = graph.vertices.agg(F.max("id")).first()[0]
     path = gr.shortest_path(graph, _start(graph), end, "both") or []
     return spark.createDataFrame(list(enumerate(path)), "step long, id long")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, s AS MATERIALIZED (SELECT src, list(dst) AS near FROM ({_BOTH}) GROUP BY src),
+ w AS (SELECT [{_START}] AS path, [{_START}] AS seen UNION ALL
+  SELECT CASE WHEN ahead IS NULL THEN path[:-2] ELSE list_append(path, ahead) END, CASE WHEN ahead IS NULL THEN seen ELSE list_append(seen, ahead) END
+  FROM (SELECT path, seen, list_min(list_filter(near, lambda x: NOT list_contains(seen, x))) AS ahead FROM w LEFT JOIN s ON s.src = path[len(path)] WHERE len(path) > 0))
+ SELECT unnest(seen) AS id, unnest(range(len(seen))) AS ord FROM w WHERE len(path) = 0""")
 def dfs_preorder(spark, sf_dir):
-    graph = _graph(spark, sf_dir, strong=False)
+    graph = _graph(spark, sf_dir)
     return gr.dfs(graph, _start(graph), "both")
 
 
@@ -426,6 +463,12 @@ def pagerank_10_iterations(spark, sf_dir):
     return gr.pagerank(_graph(spark, sf_dir), tol=1e-300, max_iter=10).scores.select("id", F.round("score", 8).alias("score"))
 
 
+@query(_rank_sql(10) + " SELECT id, round(s, 8) AS score FROM r10")
+def pagerank_by_joins(spark, sf_dir):
+    ranks = gr.pagerank(_graph(spark, sf_dir), tol=1e-300, max_iter=10, one_task=JOINED)
+    return ranks.scores.select("id", F.round("score", 8).alias("score"))
+
+
 @query(_rank_sql(10) + " SELECT row_number() OVER (ORDER BY round(s, 8) DESC, id)::INTEGER AS place, id, round(s, 8) AS score FROM r10 QUALIFY place <= 10")
 def pagerank_topk(spark, sf_dir):
     scores = gr.pagerank(_graph(spark, sf_dir), tol=1e-300, max_iter=10).scores.select("id", F.round("score", 8).alias("score"))
@@ -443,6 +486,48 @@ def wcc_labels(spark, sf_dir):
     return gr.weak_components(_graph(spark, sf_dir))
 
 
+@query(_WCC + " SELECT id, component FROM c")
+def wcc_by_joins(spark, sf_dir):
+    return gr.weak_components(_graph(spark, sf_dir), one_task=JOINED)
+
+
+@query(_SCC + " SELECT id, component FROM c")
+def scc_by_joins(spark, sf_dir):
+    return gr.strong_components(_graph(spark, sf_dir), one_task=JOINED)
+
+
+@query(f"WITH {_EDGES}, {_V}, i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM v) SELECT a.n AS src, b.n AS dst FROM e JOIN i a ON a.id = src JOIN i b ON b.id = dst")
+def graph_dense_index(spark, sf_dir):
+    return _graph(spark, sf_dir).dense()
+
+
+@query(_reach("SELECT src, dst FROM e").replace("SELECT unnest(level) AS id, distance::INTEGER AS distance FROM w", "SELECT sum(len(level))::BIGINT AS nodes, max(distance)::INTEGER AS depth FROM w"))
+def bfs_reach(spark, sf_dir):
+    graph = _graph(spark, sf_dir)
+    return gr.reach(gr.bfs_distance(graph, _start(graph)))
+
+
+@query("SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey % 13 <> 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0)")
+def key_difference(spark, sf_dir):
+    lines, part = read(spark, sf_dir, "lineitem", "part")
+    return rel.difference(lines.filter("l_partkey % 13 <> 0").select(F.col("l_partkey").alias("k")), part.filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("k")), ["k"])
+
+
+@query("SELECT l_orderkey, l_linenumber, date_diff('second', CAST(l_shipdate AS TIMESTAMP), CAST(l_shipdate AS TIMESTAMP) + INTERVAL 90 MINUTE + to_days(CAST(l_linenumber AS INTEGER))) AS seconds FROM lineitem")
+def elapsed_seconds(spark, sf_dir):
+    (lines,) = read(spark, sf_dir, "lineitem")
+    start = F.to_timestamp("l_shipdate")
+    end = start + F.make_dt_interval(F.col("l_linenumber").cast("int"), F.lit(0), F.lit(90))
+    return lines.select("l_orderkey", "l_linenumber", tx.elapsed(start, end, "SECOND").alias("seconds"))
+
+
+@query("SELECT event_id, json_extract_string(j, '$.kind') AS kind, CAST(json_extract(j, '$.n') AS BIGINT) AS n FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE '{\"kind\": \"' || event_type || '\", \"n\": ' || user_id || '}' END AS j FROM events)")
+def json_decode(spark, sf_dir):
+    (events,) = read(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 10 != 0, F.format_string('{"kind": "%s", "n": %d}', "event_type", "user_id"))
+    return events.select("event_id", tx.read_json(text, "kind string, n long").alias("j")).select("event_id", "j.kind", "j.n")
+
+
 @query(_WCC + " SELECT component, count(*) AS size FROM c GROUP BY component")
 def wcc_sizes(spark, sf_dir):
     return gr.sizes(gr.weak_components(_graph(spark, sf_dir)))
@@ -493,8 +578,7 @@ _OFFSETS = f"{_SEGMENTS}, o AS (SELECT video_id, seg, text, start, coalesce(sum(
 @query(f"WITH {_OFFSETS} SELECT video_id, md5(string_agg(text, ' ' ORDER BY seg)) AS text_md5, max(pos) AS last_pos FROM o GROUP BY video_id")
 def assemble_offsets(spark, sf_dir):
     marks = rt.offsets(_segments(spark, sf_dir), ["video_id"])
-    last = marks.groupBy("video_id").agg(F.max("pos").alias("last_pos"))
-    return rt.assemble(marks, ["video_id"]).join(last, "video_id").select("video_id", F.md5("text").alias("text_md5"), "last_pos")
+    return rt.assemble(marks, ["video_id"]).select("video_id", F.md5("text").alias("text_md5"), "last_pos")
 
 
 @query()
@@ -539,13 +623,13 @@ def parse_url_ids(spark, sf_dir):
     return pages.select("page_id", tx.video_id(link).alias("video_id"))
 
 
-_NEAR = "SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id)::INTEGER AS rank, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM (SELECT * FROM embeddings WHERE vec_id < 5) q, embeddings e"
+_NEAR = "SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id)::INTEGER AS rank, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings e"
 
 
 def _asked(spark, sf_dir):
-    """Five questions, whatever the number of vectors: a stated query set."""
+    """The stated query set: every vector whose id is divisible by 50, against all."""
     (vectors,) = read(spark, sf_dir, "embeddings")
-    return vectors, vectors.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors, vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query(f"SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM ({_NEAR}) WHERE rank <= 20")
@@ -558,15 +642,30 @@ def knn_topk(spark, sf_dir):
     return rt.nearest(*_asked(spark, sf_dir), 4).drop("similarity")
 
 
-@query()
+def _mmr_sql(k=4, lam=0.5):
+    """One common table expression a pick: the candidate with the best balance of likeness to the question and to the picks so far, the nearer among equals."""
+    like = "list_cosine_similarity(a.v, b.v)"
+    sql = f"""WITH n AS MATERIALIZED (SELECT n.*, e.embedding::DOUBLE[] AS v FROM ({_NEAR}) n JOIN embeddings e USING (vec_id) WHERE rank <= 20),
+ m AS MATERIALIZED (SELECT a.query_id, a.vec_id, b.vec_id AS other, {like} AS near FROM n a JOIN n b USING (query_id)),
+ p1 AS (SELECT query_id, 1 AS pick, vec_id FROM n WHERE rank = 1)"""
+    for i in range(2, k + 1):
+        sql += f""", p{i} AS MATERIALIZED (SELECT * FROM p{i - 1} UNION ALL SELECT query_id, {i}, vec_id FROM (
+  SELECT n.query_id, n.vec_id, row_number() OVER (PARTITION BY n.query_id ORDER BY round({lam}::DOUBLE * any_value(n.similarity) - {1 - lam}::DOUBLE * max(m.near), 12) DESC, any_value(n.rank)) AS place
+  FROM n JOIN m ON m.query_id = n.query_id AND m.vec_id = n.vec_id JOIN p{i - 1} p ON p.query_id = n.query_id AND p.vec_id = m.other
+  WHERE NOT EXISTS (SELECT 1 FROM p{i - 1} q WHERE q.query_id = n.query_id AND q.vec_id = n.vec_id) GROUP BY n.query_id, n.vec_id) WHERE place = 1)"""
+    return sql + f" SELECT query_id, pick, vec_id FROM p{k}"
+
+
+@query(_mmr_sql())
 def mmr_top4(spark, sf_dir):
     return rt.diverse(*_asked(spark, sf_dir))
 
 
-_LAST4 = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4"
+_PAIRS = """p AS (SELECT *, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS pair FROM conversations WHERE role IN ('user', 'assistant')),
+l AS (SELECT conv_id, pair FROM p WHERE pair > 0 GROUP BY conv_id, pair HAVING bool_or(role = 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pair DESC) <= 4)"""
 
 
-@query(f"SELECT conv_id, md5(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn)) AS history_md5 FROM ({_LAST4}) GROUP BY conv_id")
+@query(f"WITH {_PAIRS} SELECT conv_id, md5(string_agg(upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text, chr(10) ORDER BY turn)) AS history_md5 FROM p JOIN l USING (conv_id, pair) GROUP BY conv_id")
 def history_last4(spark, sf_dir):
     return rt.history(read(spark, sf_dir, "conversations")[0], ["conv_id"]).select("conv_id", F.md5("history").alias("history_md5"))
 
@@ -606,11 +705,13 @@ def truncate_after_segfault(spark, sf_dir):
     return pg.truncated(_trace(spark, sf_dir)).select("arrival", "proc", "page")
 
 
-@query(f"""WITH {_TRACE}, a AS (SELECT arrival, proc, page, lag(arrival) OVER w AS before, lead(arrival) OVER w AS after FROM t WHERE page < 64 AND access = 'READ' WINDOW w AS (PARTITION BY proc, page ORDER BY arrival))
+@query(f"""WITH {_TRACE}, a AS (SELECT arrival, proc, page, lag(arrival) OVER w AS before, lead(arrival) OVER w AS after FROM t WHERE page < 64 AND NOT (access = 'WRITE' AND page < 4) WINDOW w AS (PARTITION BY proc, page ORDER BY arrival))
 SELECT x.arrival, x.proc, x.page, CASE WHEN x.before IS NOT NULL THEN count(y.arrival) END AS distance, x.before IS NULL OR count(y.arrival) >= 16 AS fault
 FROM a x LEFT JOIN a y ON y.arrival > x.before AND y.arrival < x.arrival AND coalesce(y.after, 4611686018427387904) > x.arrival GROUP BY x.arrival, x.proc, x.page, x.before""")
 def lru_stack_distance(spark, sf_dir):
-    return pg.stack_distance_faults(pg.with_page(_trace(spark, sf_dir)).filter("page < 64 and access = 'READ'"))
+    """All accesses in range but writes to read-only pages, which may be violations and touch nothing."""
+    trace = pg.with_page(_trace(spark, sf_dir))
+    return pg.stack_distance_faults(trace.filter((F.col("page") < pg.PAGES) & ~((F.col("access") == "WRITE") & (F.col("page") < pg.READ_ONLY_PAGES))))
 
 
 @query()

@@ -16,17 +16,31 @@ class BadEdgeList(ValueError):
     """A line that isn't an edge, or no edges at all."""
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of a text file, plain or .gz. Blank lines and those that begin with # or % are skipped; commas count as blanks; fields after the second are ignored; anything else fails with the line."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, src, dst, file) of the lines that should be edges; src or dst is null if they aren't."""
     line = F.trim(F.regexp_replace("value", r"(?U)\s+", " "))
-    rows = spark.read.text(path).select(line.alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike("^[#%]"))
+    rows = spark.read.text(path).select(line.alias("line"), F.input_file_name().alias("file")).filter((F.col("line") != "") & ~F.col("line").rlike("^[#%]"))
     fields = F.split(F.trim(F.translate("line", ",", " ")), " +")
-    src, dst = (F.get(fields, F.lit(i)).try_cast("long") for i in (0, 1))
+    return rows.select("line", *[F.get(fields, F.lit(i)).try_cast("long").alias(c) for i, c in enumerate(("src", "dst"))], "file")
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst) of a text file, plain or .gz. Blank lines and those that begin with # or % are skipped; commas count as blanks; fields after the second are ignored; anything else fails with the line."""
     bad = F.raise_error(F.concat(F.lit(f"not an edge in {path}: "), F.col("line"))).cast("long")
-    return rows.select(F.coalesce(src, bad).alias("src"), F.coalesce(dst, bad).alias("dst"))
+    return _lines(spark, path).select(F.coalesce("src", bad).alias("src"), F.coalesce("dst", bad).alias("dst"))
+
+
+def check_edges(spark: SparkSession, path: str) -> None:
+    """Raises BadEdgeList with file:line: for a line that isn't an edge. Lines are numbered only if there is one."""
+    bad = _lines(spark, path).filter("src is null or dst is null").select("file", "line").first()
+    if bad:
+        same = lambda x: " ".join(x[0].split()) == bad.line
+        place = spark.sparkContext.textFile(bad.file).zipWithIndex().filter(same).map(lambda x: x[1]).min()
+        raise BadEdgeList(f"{bad.file}:{place + 1}: not an edge: {bad.line}")
 
 
 def load_graph(spark: SparkSession, path: str, directed: bool = False) -> Graph:
+    check_edges(spark, path)
     edges = read_edges(spark, path)
     if edges.isEmpty():
         raise BadEdgeList(f"no edges in {path}")

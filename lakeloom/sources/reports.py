@@ -14,12 +14,17 @@ LOG = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{6})\] (\w+) proc=(\d+) page=(-?\d
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(ts, status, proc, page, paddr) of the lines that have the form of a trace log; others are left out."""
+    """(ts, status, proc, page, paddr) of the lines that have the form of a trace log; rejected() has the others."""
     part = lambda i: F.regexp_extract("value", LOG, i)
     rows = spark.read.text(path).filter(F.col("value").rlike(LOG))
     return rows.select(F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), part(2).alias("status"), part(3).cast("int").alias("proc"), part(4).cast("long").alias("page"), F.nullif(part(5), F.lit("")).cast("long").alias("paddr"))
 
 
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines that read_log() can't read, blank ones apart."""
+    return spark.read.text(path).filter(~F.col("value").rlike(LOG) & (F.trim("value") != ""))
+
+
 def write_log(lines: DataFrame, path: str) -> None:
     """lines(arrival, value) in order, as text."""
     lines.orderBy("arrival").select("value").write.mode("append").text(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import cleansing as cl
 from lakeloom.functions import text as tx
+from lakeloom.operators import answering as an
 from lakeloom.operators import graph as gr
 from lakeloom.operators import paging as pg
 from lakeloom.operators import relational as rel
@@ -18,6 +19,7 @@ from lakeloom.operators import retrieval as rt
 from lakeloom.operators.components import connected_components
 from lakeloom.plans import catalogue, warehouse
 from lakeloom.sources import edgelist, reports, synthetic
+from lakeloom.sources.settings import BadSetting, Settings
 from lakeloom.streaming import paging as stream
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -52,6 +54,9 @@ def test_text(spark):
     key = "dQw4w9WgXcQ"
     links = [key, f"https://www.youtube.com/watch?v={key}&t=1", f"youtu.be/{key}?x=1", f"http://m.youtube.com/shorts/{key}", f"https://youtube.com/embed/{key}", f"https://example.org/watch?v={key}", "https://youtu.be/short", "", None, f"https://youtube.com/other/{key}"]
     assert values(spark, tx.video_id, links) == [key] * 5 + [None] * 5
+    asked = [" 'a' ", "\"'b'\"", "'\"c\"'", "\t\n d's \u00a0", "\"\"e\"\""]
+    assert values(spark, tx.clean_question, asked) == [x.strip().strip('"').strip("'").strip() for x in asked]
+    assert values(spark, tx.crc32, ["abc", ""]) == [891568578, 0]
     pair = spark.createDataFrame([("zh-Hans", "zh-Hant"), ("en", "EN-us"), ("en", "de")], "a string, b string").coalesce(1)
     assert [r[0] for r in pair.select(tx.same_language(F.col("a"), F.col("b"))).collect()] == [True, True, False]
 
@@ -75,6 +80,12 @@ def test_numbers(spark):
     assert rel.numbered(df.limit(0), ["x"], "n").count() == 0
 
 
+def test_key_sets(spark):
+    rows = lambda *x: spark.createDataFrame([(k,) for k in x], "k int")
+    assert sorted(r.k for r in rel.difference(rows(1, 1, 2, 3), rows(3, 4, None), ["k"]).collect()) == [1, 2]
+    assert rel.is_subset(rows(1, 1, None), rows(None, 2, 1), ["k"]) and not rel.is_subset(rows(None), rows(1), ["k"])
+
+
 # --- graph ----------------------------------------------------------------------------------------------------------
 
 
@@ -149,6 +160,19 @@ def test_graph_build_and_lookups(spark, tmp_path):
         graph.neighbours_of(77)
     with pytest.raises(ValueError):
         graph.neighbours("sideways")
+    assert [tuple(r) for r in graph.indexed().orderBy("index").collect()] == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 9)]
+    assert graph.external_id(4) == 9 and graph.degree_at(1) == (2, 2) and graph.degree_at(4) == (0, 0)
+    for index in (-1, 5):
+        with pytest.raises(IndexError):
+            graph.degree_at(index)
+    for damping in (0, 1, -0.1):
+        with pytest.raises(ValueError):
+            gr.pagerank(graph, damping)
+    found = gr.analyse(graph, 2)
+    assert found.converged and [r.place for r in found.top.collect()] == [1, 2] and found.top.first().id == 2
+    assert tuple(found.weak.first())[:3] == (1, 3, 3) and tuple(found.strong.first())[:3] == (1, 3, 3)
+    assert [tuple(r) for r in gr.sizes(gr.weak_components(graph), 1).collect()] == [(1, 3)]
+    assert gr.shortest_path(graph, 1, 9) is None and gr.shortest_path(graph, 1, 9, one_task=0) is None and gr.shortest_path(graph, 9, 9) == [9]
     edgelist.write_store(graph, f"{tmp_path}/store")
     back, meta = edgelist.open_store(spark, f"{tmp_path}/store")
     assert meta["num_edges"] == 2 and edgelist.verify(spark, f"{tmp_path}/store")
@@ -170,6 +194,8 @@ def test_edge_lists(spark, tmp_path):
     (tmp_path / "bad.txt").write_text("1 2\n3\n")
     with pytest.raises(Exception, match="not an edge"):
         edgelist.read_edges(spark, f"{tmp_path}/bad.txt").collect()
+    with pytest.raises(edgelist.BadEdgeList, match="bad.txt:2: not an edge: 3"):
+        edgelist.load_graph(spark, f"{tmp_path}/bad.txt")
     (tmp_path / "none.txt").write_text("# nothing\n")
     with pytest.raises(edgelist.BadEdgeList):
         edgelist.load_graph(spark, f"{tmp_path}/none.txt")
@@ -250,13 +276,91 @@ def test_search_and_prompts(spark):
     assert [r.vec_id for r in near[:2]] == [0, 1] and abs(near[0].similarity - 1) < 1e-5
     picks = [r.vec_id for r in rt.diverse(vectors, asked, 2, lam=0.3).orderBy("pick").collect()]
     assert picks[0] == 0 and picks[1] != 1
-    turns = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(6)], "conv int, turn int, role string, text string")
-    assert rt.history(turns, ["conv"]).first().history == "User: t2\nAssistant: t3\nUser: t4\nAssistant: t5"
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(12)] + [(1, 12, "user", "open"), (2, 0, "assistant", "early"), (2, 1, "system", "s"), (2, 2, "user", "q"), (2, 3, "user", "r"), (2, 4, "assistant", "a")]
+    turns = spark.createDataFrame(rows, "conv int, turn int, role string, text string")
+    said = {r.conv: r.history for r in rt.history(turns, ["conv"]).collect()}
+    assert said[1] == "\n".join(f"User: t{k}\nAssistant: t{k + 1}" for k in range(4, 12, 2)) and said[2] == "User: r\nAssistant: a"
     df = spark.createDataFrame([("why?", ""), ("and?", "User: a")], "question string, history string")
     got = [r.standalone for r in rt.standalone(df, lambda p: F.lit(' "rewritten" ')).collect()]
     assert got == ["why?", "rewritten"]
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Against all cosines, in blocks of vectors and batches of queries, with copies, zeros and ids of text."""
+    import numpy as np
+
+    monkeypatch.setattr(rt, "VECTOR_BLOCK", 40)
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 3)
+    draw = np.random.default_rng(3)
+    v = draw.normal(size=(150, 6))
+    v[20:30], v[40] = v[20], 0.0
+    vectors = spark.createDataFrame([(f"{i:03}", [float(x) for x in r]) for i, r in enumerate(v)], "vec_id string, embedding array<double>")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in rt.nearest(vectors, asked, 7).collect()}
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = v / np.where(norm > 0, norm, 1)
+    for q in range(0, 150, 20):
+        cosine = np.round(unit @ unit[q], 9)
+        best = sorted(range(150), key=lambda i: (-cosine[i], i))[:7]
+        assert [got[f"{q:03}", k + 1][0] for k in range(7)] == [f"{i:03}" for i in best], q
+    assert rt.nearest(vectors.limit(0), asked, 3).count() == 0
+
+
+def test_settings(tmp_path):
+    file = tmp_path / "env"
+    file.write_text("# c\nCHUNK_SIZE=900\nexport TOP_K = 7\nTARGET_LANGUAGE=\nPREFERRED_LANGUAGES='de, fr,'\nCHUNK_OVERLAP=\n")
+    found = Settings.load({"TOP_K": "3", "TEMPERATURE": "0.5"}, str(file))
+    assert (found.chunk_size, found.top_k, found.chunk_overlap, found.temperature) == (900, 3, 150, 0.5)
+    assert found.target_language == "" and found.preferred_languages == ("de", "fr")
+    assert Settings.load({}, str(tmp_path / "none")) == Settings()
+    for bad in ({"TOP_K": "x"}, {"TOP_K": "0"}, {"TEMPERATURE": "warm"}, {"CHUNK_SIZE": "10"}, {"CHUNK_SIZE": "-1"}):
+        with pytest.raises(BadSetting):
+            Settings.load(bad, "")
+
+
+class Videos:
+    """Transcripts in memory; counts what is fetched."""
+
+    def __init__(self, spark, lines):
+        self.spark, self.lines, self.fetched = spark, lines, 0
+
+    def candidates(self, video_id):
+        rows = [(video_id, 0, "de", False, True, ["en"]), (video_id, 1, "en", True, False, [])]
+        return self.spark.createDataFrame(rows, "video_id string, pos int, language_code string, is_generated boolean, is_translatable boolean, translations array<string>")
+
+    def segments(self, chosen):
+        self.fetched += 1
+        return self.spark.createDataFrame([(chosen.video_id, i, t, 30.0 * i) for i, t in enumerate(self.lines)], "video_id string, seg int, text string, start double")
+
+
+def test_ingest_and_chat(spark, tmp_path):
+    key = "dQw4w9WgXcQ"
+    settings = Settings(chunk_size=40, chunk_overlap=5, cache_dir=str(tmp_path / "cache"))
+    source = Videos(spark, ["the red cat sleeps on the mat", "a blue dog runs in the park", "rain falls on the green hills"])
+    index = an.ingest(spark, f"https://youtu.be/{key}", settings, source)
+    assert index.meta.language_code == "en" and index.meta.num_chunks == index.vectors.count() >= 3 and not index.from_cache
+    again = an.ingest(spark, key, settings, source)
+    assert again.from_cache and again.meta == index.meta and source.fetched == 1
+    assert sorted(r.text for r in again.vectors.collect()) == sorted(r.text for r in index.vectors.collect())
+    assert not an.ingest(spark, key, Settings(chunk_size=41, chunk_overlap=5, cache_dir=settings.cache_dir), source).from_cache
+    (tmp_path / "cache").joinpath(an.index_path(key, settings).rsplit("/", 1)[1], "meta").rename(tmp_path / "gone")
+    assert not an.ingest(spark, key, settings, source).from_cache and source.fetched == 3
+    with pytest.raises(ValueError):
+        an.ingest(spark, "no video", settings, source)
+    with pytest.raises(ValueError):
+        an.ingest(spark, key, settings, Videos(spark, ["[x]", " "]), use_cache=False)
+    chat = an.Chat(spark, an.retriever(again, 2), lambda p: F.concat(F.lit(" said: "), F.md5(p)), lambda p: F.lit('"where is the dog"'))
+    first = chat.ask(" where is the red cat? ")
+    assert first.standalone == "where is the red cat?" and first.answer.startswith("said: ") and len(first.sources) == 2
+    assert [s.start_seconds for s in first.sources] == sorted(s.start_seconds for s in first.sources) and any("cat" in s.text for s in first.sources)
+    second = chat.ask("and the dog?")
+    assert second.standalone == "where is the dog" and second.answer != first.answer and len(chat.said) == 2
+    with pytest.raises(ValueError):
+        chat.ask("  ")
+    chat.reset()
+    assert chat.said == [] and chat.ask("and the dog?").standalone == "and the dog?"
+
+
 # --- paging ---------------------------------------------------------------------------------------------------------
 
 
@@ -289,6 +393,13 @@ def test_simulation_stream_and_stack_distance(spark, tmp_path):
     source = spark.readStream.schema(trace.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     stream.drain(stream.respond(source), f"{tmp_path}/out", f"{tmp_path}/mark")
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(got)
+    lines = stream.log_sink(stream.respond(stream.requests(spark, f"{tmp_path}/in", trace.schema, 2)), f"{tmp_path}/log", f"{tmp_path}/mark2")
+    lines.awaitTermination()
+    assert reports.read_log(spark, f"{tmp_path}/log").count() == len(want) and reports.rejected(spark, f"{tmp_path}/log").count() == 0
+    shown = stream.monitor(stream.respond(stream.requests(spark, f"{tmp_path}/in", trace.schema)), f"{tmp_path}/mark3", sink="memory", name="totals")
+    shown.processAllAvailable()
+    shown.stop()
+    assert spark.table("totals").first().total_page_faults == total.total_page_faults
     reads = pg.with_page(trace).filter("page < 64").withColumn("access", F.lit("READ"))
     faults = {r.arrival: r.fault for r in pg.stack_distance_faults(reads).collect()}
     assert faults == {r.arrival: r.status == "FAULT" for r in pg.simulate(reads).collect()}
