@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A join side is broadcast only if its measured size is at most this many bytes.
 BROADCAST_BYTES = 8 << 20
 
+#: Environment of Python workers: Arrow takes memory from the C library, which has one arena and gives free memory back.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1000000"}
+
 
 def session(master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with the settings the queries expect; conf overrides them."""
@@ -62,11 +65,13 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 
 
 def workers_see_package(spark: SparkSession) -> None:
-    """Python workers started from now on find this package even if the driver runs in another folder."""
+    """Python workers started from now on find this package even if the driver runs in another folder, and give memory back that they have freed."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, os.environ.get(name, value))
 
 
 def read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
