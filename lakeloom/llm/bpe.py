@@ -26,7 +26,7 @@ from lakeloom.llm.text import AGREED
 from lakeloom.runtime import workers_see_package
 
 #: A worker remembers at most so many distinct chunks, and so many characters of them.
-REMEMBERED, REMEMBERED_CHARS = 240_000, 5_000_000
+REMEMBERED, REMEMBERED_CHARS = 120_000, 2_500_000
 
 
 def byte_characters() -> list[str]:
@@ -288,7 +288,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", pattern: str | None = N
     return here.mapInArrow(run, out)
 
 
-def _slices(batch: pa.RecordBatch, text: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about so many bytes of text, so that long texts don't meet in memory."""
     start, size = 0, 0
     lengths = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
