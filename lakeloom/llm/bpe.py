@@ -27,6 +27,8 @@ from lakeloom.runtime import workers_see_package
 
 #: A worker remembers at most so many distinct chunks, and so many characters of them.
 REMEMBERED, REMEMBERED_CHARS = 120_000, 2_500_000
+#: So many times as much where ids don't leave the worker, which leaves more of its memory.
+MORE = 4
 
 
 def byte_characters() -> list[str]:
@@ -150,7 +152,7 @@ class Matches:
 class Codec(Matches):
     """One vocabulary of ranks."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, times: int = 1):
         from tokenizers import models
 
         ranks = read_ranks(data)
@@ -166,13 +168,14 @@ class Codec(Matches):
         super().__init__(model, ranks[NUL.encode()], pattern)
         self.matches = Generations()
         #: Chunks are remembered only for the pattern that is known to allow it.
-        self.chunks = Chunks(self._encode) if pattern == _pattern() else None
+        self.most, self.most_chars = REMEMBERED * times, REMEMBERED_CHARS * times
+        self.chunks = Chunks(self._encode, self.most, self.most_chars) if pattern == _pattern() else None
         self.tiktoken = None
 
     def _encode(self, chunks: list[str]) -> list[tuple[int, ...]]:
         """The ids of each chunk: its matches are encoded by the library, each distinct one once."""
         rows = [self.pattern.findall(c) for c in chunks]
-        if len(self.matches.young) > REMEMBERED // 4 or self.matches.chars > REMEMBERED_CHARS // 4:
+        if len(self.matches.young) > self.most // 4 or self.matches.chars > self.most_chars // 4:
             self.matches.age()
         self.matches.learn((m for row in rows for m in row), self.library_ids)
         ids = self.matches.young
@@ -217,11 +220,11 @@ class Codec(Matches):
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(data: bytes, pattern: str) -> Codec:
+def codec(data: bytes, pattern: str, times: int = 1) -> Codec:
     """One codec a worker for each vocabulary; it lives as long as the worker."""
-    key = hashlib.sha256(data + pattern.encode()).hexdigest()
+    key = hashlib.sha256(data + pattern.encode()).hexdigest() + str(times)
     if key not in _CODECS:
-        _CODECS[key] = Codec(data, pattern)
+        _CODECS[key] = Codec(data, pattern, times)
     return _CODECS[key]
 
 
@@ -315,7 +318,7 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     out = T.StructType([here.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value, pattern)
+        own = codec(shared.value, pattern, MORE)
         for batch in batches:
             rows = []
             for text in batch.column("t"):
@@ -326,7 +329,6 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                 rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_())], out.names)
-        own.forget()
 
     return here.mapInArrow(run, out)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.bpe import Chunks, Matches, _pattern, _vocabulary, byte_characters
+from lakeloom.llm.bpe import MORE, REMEMBERED, REMEMBERED_CHARS, Chunks, Matches, _pattern, _vocabulary, byte_characters
 from lakeloom.llm.text import AGREED
 from lakeloom.runtime import workers_see_package
 
@@ -54,7 +54,7 @@ class Counter(Matches):
             for s, found in zip(strings, self.whole_library.encode_batch_fast(strings, add_special_tokens=False), strict=True):
                 if len(found.ids) == 1 and self.pattern.fullmatch(s) and not (self.special and self.special.search(s)):
                     self.whole.add(s)
-        self.chunks = Chunks(self._counts)
+        self.chunks = Chunks(self._counts, MORE * REMEMBERED, MORE * REMEMBERED_CHARS)
 
     def _counts(self, chunks: list[str]) -> list[int]:
         whole = self.whole
@@ -101,7 +101,6 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         for batch in batches:
             found = [own.count(t.as_py()) for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(found, pa.int64())], out.names)
-        own.chunks.forget()
 
     return here.mapInArrow(run, out).withColumn("over_limit", F.col("n_tokens") > limit)
 
